@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstrata.llm import decontaminate, quality_rules
+from quillstrata.llm import bpe, byte_cnn, chat_template, decontaminate, knn_quality, quality_rules, warc
 from quillstrata.llm.common import table
 
 
@@ -14,5 +14,27 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules)}
-ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL}
+def op4_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_quality_classifier(spark, sf_dir):
+    return knn_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat_format(spark, sf_dir):
+    return chat_template.report(table(spark, sf_dir, "conversations"))
+
+
+def op7_language_id(spark, sf_dir):
+    return byte_cnn.report(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_chat_format, op7_language_id, op9_warc)}
+ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL, "op6_chat_format": chat_template.SQL, "op9_warc": warc.SQL}

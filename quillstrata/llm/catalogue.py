@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstrata.llm import bpe, byte_cnn, chat_template, decontaminate, knn_quality, quality_rules, warc
+from quillstrata.llm import bpe, byte_cnn, chat_template, decontaminate, knn_quality, quality_rules, secret_scan, substring, warc
 from quillstrata.llm.common import table
 
 
@@ -32,9 +32,17 @@ def op7_language_id(spark, sf_dir):
     return byte_cnn.report(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.report(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_chat_format, op7_language_id, op9_warc)}
-ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL, "op6_chat_format": chat_template.SQL, "op9_warc": warc.SQL}
+def op10_substring_dedup(spark, sf_dir):
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_chat_format, op7_language_id, op8_secret_scan, op9_warc, op10_substring_dedup)}
+ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL, "op6_chat_format": chat_template.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring.SQL}

@@ -1,13 +1,57 @@
-"""Corpus pipeline: language, near copies, contamination, secrets, tokens."""
+"""Corpus pipeline: language, near copies, contamination, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns the columns of documents; the last
+returns the digests of the encoded texts.  `run` writes each stage as Parquet in the shared folder and reads it back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstrata.llm import bpe, byte_cnn, decontaminate, jaccard_join, secret_scan
+from quillstrata.llm.common import spool, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Language predictions below this probability are rejected, as are texts without a letter.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts in a known language and writes the prediction to lang where lang is null."""
+    return byte_cnn.keep_known(docs, byte_cnn.train(docs), LEAST_LANGUAGE_SCORE).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the text of least doc_id of each group of similar texts."""
+    return jaccard_join.keep_one(docs).select(*COLUMNS)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that benchmark passages contaminate."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; keeps all rows."""
+    return secret_scan.redact(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts; digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    return bpe.report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("contamination", contamination), ("secrets", secrets), ("tokens", tokens)]
+
+#: A trained network and a random forest decide in it, which SQL can't express; tests hold it against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = spool(stage(spark, docs, sf_dir), name)
     return docs

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.llm.common import sample
+
 WINDOW, WIDTHS, WIDEST = 256, (2, 3, 4), 4
 DIM, FILTERS = 8, 8
 #: Texts for each language, at most LANGUAGES of them; windows for each text; passes.
@@ -138,32 +140,46 @@ class Network:
         return score
 
 
+def _decider(net: Network | None):
+    """(languages, scores) of a list of texts; every window of every text is scored."""
+    score = net.scorer() if net else None
+
+    def decide(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        preds, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if not waiting:
+                return
+            counts = [len(w) for _, w, _ in waiting]
+            logp = score(np.concatenate([w for _, w, _ in waiting])) * np.concatenate([s for _, _, s in waiting])[:, None]
+            total = np.add.reduceat(logp, np.cumsum([0, *counts[:-1]]), axis=0)
+            for (i, _, sizes), row in zip(waiting, total, strict=True):
+                p = np.exp((row - row.max()) / sizes.sum())
+                preds[i], scores[i] = net.languages[int(row.argmax())], float(p.max() / p.sum())
+            waiting.clear()
+
+        held = 0
+        for i, text in enumerate(texts if net else ()):
+            if text and _LETTER.search(text):
+                waiting.append((i, *windows(text.encode())))
+                held += len(waiting[-1][1])
+                if held >= _BATCH:
+                    flush()
+                    held = 0
+        flush()
+        return preds, scores
+
+    return decide
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score for each row; every window of every text is scored."""
+    """doc_id, lang_pred, score for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = net.scorer() if net else None
+        decide = _decider(net)
         for batch in batches:
-            preds, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-            def flush() -> None:
-                if not waiting:
-                    return
-                counts = [len(w) for _, w, _ in waiting]
-                logp = score(np.concatenate([w for _, w, _ in waiting])) * np.concatenate([s for _, _, s in waiting])[:, None]
-                total = np.add.reduceat(logp, np.cumsum([0, *counts[:-1]]), axis=0)
-                for (i, _, sizes), row in zip(waiting, total, strict=True):
-                    p = np.exp((row - row.max()) / sizes.sum())
-                    preds[i], scores[i] = net.languages[int(row.argmax())], float(p.max() / p.sum())
-                waiting.clear()
-
-            for i, text in enumerate(batch.column("text").to_pylist() if net else ()):
-                if text and _LETTER.search(text):
-                    waiting.append((i, *windows(text.encode())))
-                    if sum(len(w) for _, w, _ in waiting) >= _BATCH:
-                        flush()
-            flush()
+            preds, scores = decide(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,9 +195,8 @@ def train(docs: DataFrame) -> Network | None:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     texts, names = [], []
-    order = F.xxhash64("doc_id", "text")
     for lang in langs:
-        found = rows.filter(F.col("lang") == lang).select(order.alias("o"), F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("o", "text").limit(TRAIN_ROWS).collect()
+        found = sample(rows.filter(F.col("lang") == lang).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")), TRAIN_ROWS, "doc_id", "text").collect()
         texts += [r["text"] for r in found]
         names += [lang] * len(found)
     keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
@@ -192,3 +207,20 @@ def report(docs: DataFrame) -> DataFrame:
     """The columns of query op7."""
     out = predict(docs, train(docs))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, net: Network | None, least_score: float) -> DataFrame:
+    """docs (doc_id, text, lang and any others) whose language is known with least_score or more; a null lang becomes the prediction."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = _decider(net)
+        for batch in batches:
+            preds, scores = decide(batch.column("text").to_pylist())
+            keep = [i for i, (p, s) in enumerate(zip(preds, scores, strict=True)) if p != UNKNOWN and s >= least_score]
+            part = batch.take(pa.array(keep, pa.int64()))
+            lang = [known if known is not None else preds[i] for i, known in zip(keep, part.column("lang").to_pylist(), strict=True)]
+            columns = [pa.array(lang, pa.string()) if c == "lang" else part.column(c) for c in names]
+            yield pa.record_batch(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)

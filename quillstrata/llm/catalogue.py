@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstrata.llm import bpe, byte_cnn, chat_template, decontaminate, knn_quality, quality_rules, secret_scan, substring, warc
+from quillstrata.llm import bpe, byte_cnn, chat_template, decontaminate, jaccard_join, knn_quality, quality_rules, secret_scan, substring, warc
 from quillstrata.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_substring_dedup(spark, sf_dir):
     return substring.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_chat_format, op7_language_id, op8_secret_scan, op9_warc, op10_substring_dedup)}
-ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL, "op6_chat_format": chat_template.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring.SQL}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_chat_format, op7_language_id, op8_secret_scan, op9_warc, op10_substring_dedup)}
+ORACLE_SQL = {"op1_benchmark_decontamination": decontaminate.SQL, "op2_ngram_jaccard": jaccard_join.SQL, "op6_chat_format": chat_template.SQL, "op9_warc": warc.SQL, "op10_substring_dedup": substring.SQL}

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.llm.common import sample
+
 HASHED, LATENT, NEAREST, SAMPLE, BLOCK = 2048, 48, 25, 2048, 256
 STYLE, STYLE_WEIGHT = 8, 3.0
 #: Cosines are raised to this power for a vote's weight.
@@ -107,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Neighbours | None:
     counts = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
     if not counts:
         return None
-    drawn = [labelled.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
+    drawn = [sample(labelled.filter(F.col("quality") == q), SAMPLE, "doc_id") for q in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("quality", "text")
     found = sorted((r["quality"], bytes(r["x"])) for r in rows.mapInArrow(_featurized, "quality int, x binary").collect())
     if not found:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import spool
+from quillstrata.llm.common import sample, spool
 
 #: Magic number of the skippable frame that holds a dictionary, and of any frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -161,8 +161,8 @@ def decide(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """archive, content: the archives, written in the shared folder."""
-    sample = pages.select(F.xxhash64("page_id").alias("o"), F.substring("html", 1, 4096).alias("html"), "url").orderBy("o", "url").limit(SAMPLE).collect()
-    dictionary = train_dictionary([record(0, r["url"], (r["html"] or "").encode()) for r in sample])
+    drawn = sample(pages.select("page_id", "url", F.substring("html", 1, 4096).alias("html")), SAMPLE, "page_id", "url").collect()
+    dictionary = train_dictionary([record(0, r["url"], (r["html"] or "").encode()) for r in drawn])
     keyed = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
     rows = keyed.join(decide(pages), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
     rows = rows.select("page_id", "url", "html", "refers_to", F.col("s").isNotNull().alias("revisit"), F.spark_partition_id().alias("part"))

@@ -73,7 +73,7 @@ def fact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         keyed = df.withColumn("k1", k1.cast("long")).withColumn("k2", k2.cast("long"))
         return keyed.select(
             F.struct(F.lit(rank).alias("t"), "k1", "k2").alias("seq"), source.alias("source_key"), F.lit(relation).alias("relation"), target.alias("target_key"), F.lit(doc).alias("doc_id"),
-            F.array(F.concat(F.lit("p1e"), F.lpad(F.col("k1").cast("string"), 3, "0"))).alias("element_ids"), F.lit("").alias("evidence"), F.lit("low").alias("confidence"),
+            F.array(F.format_string("p1e%03d", F.col("k1"))).alias("element_ids"), F.lit("").alias("evidence"), F.lit("low").alias("confidence"),
         )
 
     zero = F.lit(0)

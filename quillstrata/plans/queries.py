@@ -306,7 +306,7 @@ def alias_match(spark, d):
     return c.join(s, "alias").select("c_custkey", "s_suppkey")
 
 
-@query("SELECT 'location' AS kind, least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM (SELECT 'product|part ' || p_partkey AS k, 'part ' || p_partkey AS n FROM part WHERE p_partkey <= 0) a JOIN (SELECT '' AS k, '' AS n) b ON true UNION SELECT 'x', least(a.p_name, b.p_name), greatest(a.p_name, b.p_name) FROM (SELECT DISTINCT lower(p_name) AS p_name FROM part) a JOIN (SELECT DISTINCT lower(p_name) AS p_name FROM part) b ON a.p_name <> b.p_name AND contains(b.p_name, a.p_name)")
+@query("SELECT DISTINCT 'x' AS kind, least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b FROM (SELECT DISTINCT lower(p_name) AS p_name FROM part) a JOIN (SELECT DISTINCT lower(p_name) AS p_name FROM part) b ON a.p_name <> b.p_name AND contains(b.p_name, a.p_name)")
 def fuzzy_candidates(spark, d):
     """Distinct part names of which one contains the other."""
     names = A.table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct().select(F.col("name").alias("key"), "name", F.lit("x").alias("type"))
@@ -368,10 +368,10 @@ def known_entities(spark, d):
     return graph.known_entities(A.entities(spark, d)).select("key", "name")
 
 
-@query(f"WITH {FACTS} SELECT doc_id || ':p1e' || lpad(CAST(k1 AS VARCHAR), 3, '0') AS gid, key FROM (SELECT DISTINCT doc_id, k1, unnest([s, o]) AS key FROM f WHERE t <= 3 AND k1 < 1000)")
+@query(f"WITH {FACTS} SELECT doc_id || ':' || printf('p1e%03d', k1) AS gid, key FROM (SELECT DISTINCT doc_id, k1, unnest([s, o]) AS key FROM f)")
 def mentioned_in(spark, d):
-    """Which elements mention which entities, derived from facts (those of rows below 1000, whose ids SQL's lpad doesn't cut)."""
-    return graph.mentions(A.fact_log(spark, d).filter((F.col("seq.t") <= 3) & (F.col("seq.k1") < 1000)))
+    """Which elements mention which entities, derived from facts."""
+    return graph.mentions(A.fact_log(spark, d))
 
 
 @query(f"WITH {ELEMENTS}, a AS (SELECT DISTINCT 'x' || item_id AS gid FROM benchmark UNION ALL SELECT DISTINCT CAST(item_id AS VARCHAR) || ':p1e000' FROM benchmark) SELECT gid FROM passages SEMI JOIN a USING (gid)")

@@ -5,10 +5,11 @@
    takes is done.
 2. The shingles of each other text are ordered by frequency, rarest first.  If two sets share c shingles, the prefixes of
    |set| - c + l shingles share at least l.  Each text chooses its own l: a longer prefix means more postings to read and fewer
-   candidates to verify; both are estimated from the frequencies.  A pair is a candidate if its prefixes share the smaller of both l.
+   candidates to verify; both are estimated from the frequencies.  A pair is a candidate if its prefixes, as long as both sizes
+   ask for, share the smaller of both l.
 3. Texts with equal sets are one vertex.  Pairs inside a large group of near copies are not listed: first every vertex
    is verified against two others that lead its postings, which finds most groups; then only postings that hold vertices of
-   different components are joined, component by component, in blocks; every candidate across components is verified.  So a link that
+   different components are joined, in blocks; every candidate across components is verified.  So a link that
    isn't verified joins two vertices that are known to be in one component, and the components are exact.
 
 Defined results: a null text or one without words has an empty set and no link; one with fewer than SIZE words has its whole
@@ -31,8 +32,10 @@ from quillstrata.llm.common import spool
 from quillstrata.llm.components import components
 
 SIZE, PERCENT = 5, 80
-#: Rows of a block of one component's vertices in one posting list.
+#: Rows of a block of one posting list.
 BLOCK = 256
+#: Shared prefix shingles that a text may ask for.
+MOST_MATCHES = 32
 #: Cost of verifying a candidate for each of its shingles, in postings read.
 VERIFY = 0.1
 _BITS = 48
@@ -77,17 +80,16 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 def choose(df: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
     """(l, prefix) for the frequencies, ascending, of the set's shared shingles; the n - len(df) unshared ones stand before them.
 
-    prefix counts shared shingles only."""
-    c, alone = least_overlap(n, percent), n - len(df)
+    prefix counts shared shingles only.  It must do for partners of any size; what it costs is estimated for one of the same size."""
+    alone = n - len(df)
     reads = np.concatenate([[0], np.cumsum(df.astype(np.float64) - 1)])
-    ls = np.arange(1, c + 1)
-    prefix = np.clip(n - c + ls - alone, 0, len(df))
-    cost = reads[prefix] * (1 + VERIFY * n / ls)
-    best = int(np.argmin(cost))
-    return int(ls[best]), int(prefix[best])
+    ls = np.arange(1, min(MOST_MATCHES, least_overlap(n, percent)) + 1)
+    like = np.clip(n - -(-2 * n * percent // (100 + percent)) + ls - alone, 0, len(df))
+    l = int(ls[np.argmin(reads[like] * (1 + VERIFY * n / ls))])  # noqa: E741
+    return l, int(np.clip(n - least_overlap(n, percent) + l - alone, 0, len(df)))
 
 
-KIND = "n_shingles bigint, v bigint, l int, prefix array<bigint>, shared binary"
+KIND = "n_shingles bigint, v bigint, alone int, l int, prefix array<bigint>, shared binary"
 
 
 def sets_table(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -104,6 +106,7 @@ def sets_table(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
         totals, _ = packed.received(back)
         b = _Bundle(table.column("text").to_pylist(), size)
         n = len(b.sets)
+        alone: list[int | None] = [None] * n
         ls: list[int | None] = [None] * n
         pre: list[np.ndarray | None] = [None] * n
         shared: list[bytes | None] = [None] * n
@@ -117,9 +120,9 @@ def sets_table(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
             order = np.lexsort((toks, df))
             ls[i], p = choose(df[order], len(b.sets[i]), percent)
             pre[i] = toks[order[:p]].astype(np.int64)
-            shared[i] = packed.squeeze_sorted(toks)
+            alone[i], shared[i] = len(b.sets[i]) - m, packed.squeeze_sorted(toks)
         return pa.table(
-            {"doc_id": table.column("doc_id"), "n_shingles": pa.array([len(s) for s in b.sets], pa.int64()), "v": pa.array([int.from_bytes(k, "little", signed=True) for k in b.keys], pa.int64()), "l": pa.array(ls, pa.int32()), "prefix": pa.array(pre, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary())}
+            {"doc_id": table.column("doc_id"), "n_shingles": pa.array([len(s) for s in b.sets], pa.int64()), "v": pa.array([int.from_bytes(k, "little", signed=True) for k in b.keys], pa.int64()), "alone": pa.array(alone, pa.int32()), "l": pa.array(ls, pa.int32()), "prefix": pa.array(pre, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary())}
         )
 
     grouped = rows.groupBy("bundle")
@@ -152,8 +155,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def leaders(postings: DataFrame) -> DataFrame:
-    """a, b: each vertex with up to two vertices that lead lists it is in: the commonest least vertex, and one drawn by hash."""
-    heads = postings.groupBy("tok").agg(F.count("*").alias("n"), F.min("v").alias("first"), F.min_by("v", F.xxhash64("v", "tok")).alias("drawn")).filter("n > 1")
+    """a, b: each vertex with up to two vertices that lead lists it is in: the commonest lead, and one drawn by hash.
+
+    A list is led by the vertex with the fewest shingles of its own: of the copies of a text, one that was hardly edited, to which most others link."""
+    edited = F.floor(F.log2(F.col("alone") + 1))
+    heads = postings.groupBy("tok").agg(F.count("*").alias("n"), F.min_by("v", F.struct("alone", "v")).alias("first"), F.min_by("v", F.struct(edited, F.xxhash64("v", "tok"))).alias("drawn")).filter("n > 1")
     met = postings.select("tok", "v").join(heads, "tok")
     per = met.select("v", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("first").alias("lead")), F.struct(F.lit(2).alias("kind"), F.col("drawn").alias("lead")))).alias("h")).filter("v <> h.lead")
     counted = per.groupBy("v", "h").agg(F.count("*").alias("n"))
@@ -162,18 +168,46 @@ def leaders(postings: DataFrame) -> DataFrame:
 
 
 def across(vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: candidates among vertices (v, n_shingles, l, prefix, root) of different components."""
-    lists = vertices.select("v", F.col("n_shingles").alias("n"), "l", "root", F.explode("prefix").alias("tok"))
-    mixed = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tok", "size")
+    """a, b: candidates among vertices (v, n_shingles, alone, l, prefix, root) of different components.
+
+    Sets of x and y shingles that link share at least percent / (100 + percent) (x + y), which shortens both prefixes the more, the larger the
+    partner: the shingle at place p counts only with partners of up to `most` = (100 + percent) / percent (x + l - 1 - p) - x shingles.  Vertices
+    for which no other in the list is small enough leave it; those that stay meet in blocks."""
+    n = F.col("n_shingles")
+    most = (F.expr(f"(n_shingles + l - 1 - alone - i) * {100 + percent} div {percent}") - n).cast("int")
+    lists = vertices.select("v", n.cast("int").alias("n"), "l", "alone", "root", F.posexplode("prefix").alias("i", "tok"), F.col("n_shingles")).withColumn("most", most)
+    lists = lists.select("tok", "v", "root", "n", "l", "most").filter(100 * F.col("most") >= percent * F.col("n"))
+    mixed = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("tok", "least")
+    able = lists.join(mixed, "tok").filter("most >= least").drop("least")
+    again = able.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tok", "size")
     chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK))
-    blocks = lists.join(mixed, "tok").groupBy("tok", "root", chunk.alias("chunk")).agg(F.collect_list(F.struct("v", "n", "l")).alias("vs"))
+    blocks = able.join(again, "tok").groupBy("tok", chunk.alias("chunk")).agg(F.collect_list(F.struct("v", "root", "n", "l", "most")).alias("xs"))
     blocks = spool(blocks, "blocks")
-    other = blocks.select("tok", F.col("root").alias("root2"), F.col("vs").alias("ws"))
-    # sets whose sizes differ too much can't link, so a pair of blocks is opened only for vertices that fit
-    pairs = blocks.select("tok", "root", "vs").join(other, "tok").filter("root < root2")
-    pairs = pairs.select(F.explode("vs").alias("x"), "ws").select("x", F.explode(F.expr(f"filter(ws, w -> 100 * w.n >= {percent} * x.n and 100 * x.n >= {percent} * w.n)")).alias("y"))
-    pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"), F.least("x.l", "y.l").alias("need"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
+    other = blocks.select("tok", F.col("chunk").alias("chunk2"), F.col("xs").alias("ys"))
+    met = blocks.join(other, "tok").filter("chunk <= chunk2").select((F.col("chunk") == F.col("chunk2")).alias("same"), "xs", "ys")
+
+    def fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        flat = column.flatten()
+        return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), {k: flat.field(k).to_numpy() for k in ("v", "root", "n", "l", "most")}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (xb, x), (yb, y) = fields(batch.column("xs")), fields(batch.column("ys"))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k, same in enumerate(batch.column("same").to_pylist()):
+                i, j = slice(xb[k], xb[k + 1]), slice(yb[k], yb[k + 1])
+                fits = (x["root"][i, None] != y["root"][None, j]) & (x["most"][i, None] >= y["n"][None, j]) & (y["most"][None, j] >= x["n"][i, None])
+                if same:
+                    fits &= x["v"][i, None] < y["v"][None, j]
+                a, b = np.nonzero(fits)
+                if len(a):
+                    va, vb = x["v"][i][a], y["v"][j][b]
+                    out.append((np.minimum(va, vb), np.maximum(va, vb), np.minimum(x["l"][i][a], y["l"][j][b])))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "need"])
+
+    found = met.mapInArrow(pairs, "a bigint, b bigint, need int")
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -181,13 +215,12 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     table = spool(sets_table(docs, size, percent), "sets")
     least = table.groupBy("v").agg(F.min("doc_id").alias("rep"))
     held = table.filter(F.col("shared").isNotNull())
-    own = held.groupBy("v").agg(F.min(F.struct("doc_id")).alias("d")).select(F.col("v").alias("v_"), "d.doc_id")
-    sets = held.join(own, (F.col("v") == F.col("v_")) & held["doc_id"].eqNullSafe(own["doc_id"]), "left_semi").dropDuplicates(["v"]) if _repeats(held) else held
-    postings = sets.select("v", F.explode("prefix").alias("tok"))
+    sets = spool(held.dropDuplicates(["v"]), "vertices")  # rows of one set are alike, whichever bundle they come from
+    postings = sets.select("v", "alone", F.explode("prefix").alias("tok"))
     star = spool(leaders(postings), "star")
     links = spool(verify(star, sets, percent), "links")
     found = spool(components(links), "found")
-    vertices = sets.select("v", "n_shingles", "l", "prefix").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    vertices = sets.select("v", "n_shingles", "alone", "l", "prefix").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
     more = across(vertices, percent).join(star, ["a", "b"], "left_anti")
     links2 = spool(verify(more, sets, percent), "links")
     # the components so far are stars around their roots
@@ -199,11 +232,6 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _repeats(held: DataFrame) -> bool:
-    """Whether one set stands in several bundles."""
-    return not held.groupBy("v").count().filter("count > 1").isEmpty()
-
-
 def report(docs: DataFrame) -> DataFrame:
     """The columns of query op2."""
     return classes(docs)

@@ -168,3 +168,13 @@ def test_context_is_blank_without_results(spark):
     f = spark.createDataFrame([], "query_id int, hop int, seq int, source string, relation string, target string, doc_id string, element_ids array<string>")
     e = spark.createDataFrame([(1, 1, "d:p1e000", "n.md", 1, " t ")], "query_id int, rank int, gid string, source_name string, page_number int, text string")
     assert A.contexts(f, e).select(F.col("context")).first()[0] == "Evidence:\n\n[d:p1e000] (n.md, page 1)\nt"
+
+
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    rng = random.Random(6)
+    names = {f"{rng.choice(['part', 'pay', 'p', 'a b', 'ab'])}{rng.choice(['', ' ', '-'])}{rng.choice(['', '1', '12', '123', 'api', 'payments'])}" for _ in range(60)}
+    rows = [(f"{t.lower()}|{n}", n, t) for n in sorted(names) for t in ("Team", "Service")]
+    normal = lambda n: " ".join("".join(c if c.isalnum() else " " for c in n).split())
+    want = {(k, *sorted((a, b))) for k in ("team", "service") for a, n, t in rows for b, m, u in rows if t.lower() == u.lower() == k and a != b and normal(n) in normal(m)}
+    got = {(r.kind, r.a, r.b) for r in K.fuzzy_pairs(spark.createDataFrame(rows, "key string, name string, type string")).collect()}
+    assert got == want

@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import sample
-
 WINDOW, WIDTHS, WIDEST = 256, (2, 3, 4), 4
 DIM, FILTERS = 8, 8
 #: Texts for each language, at most LANGUAGES of them; windows for each text; passes.
@@ -193,12 +191,21 @@ def held_out() -> F.Column:
 def train(docs: DataFrame) -> Network | None:
     """Fits on rows that aren't held out: of each language TRAIN_ROWS texts, those of lowest hash (their first TRAIN_CHARS characters; scoring reads whole texts)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return None
+    # a threshold on the hash leaves some 2 TRAIN_ROWS of each language in one scan for all of them
+    space, begins = 1 << 40, F.substring("text", 1, TRAIN_CHARS)
+    h, bound = F.pmod(F.xxhash64("doc_id", begins), F.lit(space)), F.lit(0)
+    for lang, n in counts.items():
+        bound = F.when(F.col("lang") == lang, space if n <= 4 * TRAIN_ROWS else space * 2 * TRAIN_ROWS // n).otherwise(bound)
+    drawn: dict[str, list[tuple[int, str]]] = {}
+    for r in rows.filter(h < bound).select("lang", h.alias("h"), begins.alias("text")).collect():
+        drawn.setdefault(r["lang"], []).append((r["h"], r["text"]))
     texts, names = [], []
-    for lang in langs:
-        found = sample(rows.filter(F.col("lang") == lang).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")), TRAIN_ROWS, "doc_id", "text").collect()
-        texts += [r["text"] for r in found]
-        names += [lang] * len(found)
+    for lang, found in sorted(drawn.items()):
+        texts += [t for _, t in sorted(found)[:TRAIN_ROWS]]
+        names += [lang] * min(len(found), TRAIN_ROWS)
     keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
     return Network.fit([texts[i] for i in keep], [names[i] for i in keep]) if keep else None
 

@@ -53,14 +53,10 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
 
 class _Bundle:
     def __init__(self, texts: list[str | None], size: int) -> None:
-        words = [(t or "").encode().lower().split() for t in texts]
-        begins = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        windows = packed.Windows(np.concatenate([packed.word_hashes(w) for w in words]) if words else np.zeros(0, np.uint64))
         self.sets: list[np.ndarray] = []
         self.keys: list[bytes] = []
-        for w, b in zip(words, begins[:-1], strict=True):
-            n = min(size, len(w))
-            found = np.unique(windows.at(np.arange(b, b + len(w) - n + 1), n) >> np.uint64(64 - _BITS)) if w else np.zeros(0, np.uint64)
+        for t in texts:  # one text at a time: its words are gone before the next comes
+            found = shingles(t, size)
             self.sets.append(found)
             self.keys.append(hashlib.blake2b(found.tobytes(), digest_size=8).digest())
         seen: dict[bytes, int] = {}

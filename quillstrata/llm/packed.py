@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters in a bundle: some 2 million words, below 300 MB in a task.  LEAST_BUNDLES: also for small inputs, so that all cores work.
-BUNDLE_CHARS, LEAST_BUNDLES = 12_000_000, 64
+#: Characters in a bundle: some million words, below 150 MB in a task.  LEAST_BUNDLES: also for small inputs, so that all cores work.
+BUNDLE_CHARS, LEAST_BUNDLES = 6_000_000, 64
 
 SENT = "r int, bundle int, fps binary, counts binary, extra binary"
 BACK = "bundle int, r int, totals binary, extra binary"

@@ -244,7 +244,7 @@ _BLOCKS = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CAST(row_n
 )
 def caption_candidates(spark, d):
     """Figures and texts of one page, near and overlapping: order lines as blocks."""
-    li = A.table(spark, d, "lineitem").filter(F.col("l_orderkey") % 2 == 0)
+    li = A.table(spark, d, "lineitem")
     i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     x, y = F.col("l_quantity") * 8, F.col("l_tax") * 1000
     b = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), i.alias("index"), G.box(x, y, x + 100, y + 10).alias("bbox"), F.lit("Figure 1").alias("text"), F.lit(9.0).alias("max_size"), F.when(F.col("l_returnflag") == "R", "image").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("zone"), F.lit(11.0).alias("body_size"))

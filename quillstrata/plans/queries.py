@@ -114,8 +114,8 @@ def text_preview(spark, d):
   FROM (SELECT item_id, text, regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]*(?:[ -][A-Z][A-Za-z0-9]*)*\b') AS c FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7f]*')))"""
 )
 def question_entities(spark, d):
-    """Names that a question shows, of items in ASCII: elsewhere the engines' word borders differ."""
-    return A.table(spark, d, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("item_id", T.question_names(F.col("text")).alias("names"))
+    """Names that a question shows; a null text shows none."""
+    return A.table(spark, d, "benchmark").select("item_id", T.question_names(F.coalesce("text", F.lit(""))).alias("names"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.(pdf|md|markdown|png|jpg|jpeg|xlsx)$') THEN regexp_extract(lower(url), '(\\.[a-z]+)$', 1) ELSE regexp_extract(lower(list_last(string_split(url, '/'))), '^.+(\\.[^.]+)$', 1) END AS kind FROM pages")

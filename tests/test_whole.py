@@ -1,7 +1,10 @@
 """Queries over all of their rows, against brute force: their SQL leaves some out."""
 
+import re
 from itertools import product
 
+import pytest
+
 from oracle import same
 from quillstrata.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -21,3 +24,25 @@ def test_caption_candidates_of_odd_and_even_orders(spark, tmp_path):
 
 def test_caption_candidates_equal_their_sql_over_all_orders(spark, tables):
     same(QUERIES["caption_candidates"](spark, tables), ORACLE_SQL["caption_candidates"].replace(" WHERE l_orderkey % 2 = 0", ""), tables)
+
+
+def named(text):
+    found = re.findall(r"\b[A-Z][A-Z0-9]*[-_][A-Z0-9]+\b", text or "")
+    for run in re.findall(r"\b[A-Z][A-Za-z0-9]*(?:[ -][A-Z][A-Za-z0-9]*)*\b", text or ""):
+        if run not in "What Which Who Where When Why How The A An".split() and run not in found:
+            found.append(run)
+    return found
+
+
+def test_question_entities_of_accented_and_null_texts(spark, tmp_path):
+    texts = ["Which Team owns INC-2391?", "Él vio Señal ÑA-1 y INC-2391 en León Norte", "Was macht Über Alles, Größe A-1é und Payment API?", "漢字 Tokyo Tower é", "The A", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.item_id: r.names for r in QUERIES["question_entities"](spark, str(tmp_path)).collect()}
+    assert found == {i: named(x) for i, x in enumerate(texts)}
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_question_entities_of_all_items(spark, size):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"/root/testdata/{size}/benchmark.parquet").collect()}
+    found = {r.item_id: r.names for r in QUERIES["question_entities"](spark, f"/root/testdata/{size}").collect()}
+    assert found == {i: named(x) for i, x in items.items()}

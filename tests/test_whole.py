@@ -1,5 +1,6 @@
 """Queries over all of their rows, against brute force: their SQL leaves some out."""
 
+import math
 import re
 from itertools import product
 
@@ -46,3 +47,22 @@ def test_question_entities_of_all_items(spark, size):
     items = {r.item_id: r.text for r in spark.read.parquet(f"/root/testdata/{size}/benchmark.parquet").collect()}
     found = {r.item_id: r.names for r in QUERIES["question_entities"](spark, f"/root/testdata/{size}").collect()}
     assert found == {i: named(x) for i, x in items.items()}
+
+
+#: The cut of the SQL: the first eight words of each question.
+EIGHT = r"array_to_string(list_slice(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 8), ' ')"
+
+
+def test_questions_score_by_words_after_the_eighth(spark, tmp_path):
+    spark.createDataFrame([(1, "a short\nlate term"), (2, "b other\nnothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "q q q q q q q q late, nothing"), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.query_id, r.gid): r.score for r in QUERIES["bm25_batch_topk"](spark, str(tmp_path)).collect()}
+    texts = {"1:p1e000": "a short", "1:p1e001": "late term", "2:p1e000": "b other", "2:p1e001": "nothing"}
+    idf, average = math.log(1 + 3.5 / 1.5), 7 / 4
+    wanted = {(7, g): idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(x.split()) / average)) for g, x in texts.items() if "late" in x or "nothing" in x}
+    assert found == pytest.approx(wanted, abs=1e-8)
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_batch_topk", "rrf_fusion", "hybrid_topk"])
+def test_questions_equal_their_sql_over_whole_texts(spark, tables, name):
+    same(QUERIES[name](spark, tables), ORACLE_SQL[name].replace(EIGHT, "text"), tables)

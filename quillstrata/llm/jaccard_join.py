@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.llm import packed
-from quillstrata.llm.common import spool
+from quillstrata.llm.common import row_key, spool
 from quillstrata.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -234,9 +234,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose doc_id isn't the least of its component; all columns kept, repeated rows once."""
-    drop = classes(docs, size, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """docs with one (doc_id, text) of each component, that of least doc_id, null ids last; all columns kept.
+
+    Rows that repeat an id and its text are one document and stay together; of rows that repeat a text and have no id one stays."""
+    keyed = docs.withColumn("__k", row_key("doc_id", "text"))
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = keyed.filter(~nameless).union(keyed.filter(nameless).dropDuplicates(["__k"]))
+    kind = f"struct<nil:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},k:bigint>"  # fields that may be null, as Arrow gives them back
+    whole = keyed.select(F.struct(F.col("doc_id").isNull(), "doc_id", "__k").cast(kind).alias("doc_id"), "text")
+    drop = classes(whole, size, percent).filter("doc_id <> component_id").select(F.col("doc_id.id").alias("__d"), F.col("doc_id.k").alias("__h")).distinct()
+    return keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left_anti").drop("__k")
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ from quillstrata.llm.common import let, row_key
 _WORDS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
 _LEAD = _WORDS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 CANDIDATE = rf"\b{_LEAD}[^\s\"'<>,;]{{6,}}|{_RUN}|{_BLOCK}"
 AROUND = 48
 MASK = "[SECRET]"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,43 @@ def spool(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/quillstrata/{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._spooled = path
+    return back
+
+
+def discard(*spooled: DataFrame) -> None:
+    """Remove tables of spool that nothing reads any more: call it once all that was made of them is itself spooled."""
+    for df in spooled:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._spooled.rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system: workers are used again by other stages, beside which they'd keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f, and then give_back: for what grouped Arrow functions run on each group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    def two(table: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return f(table, other)
+        finally:
+            give_back()
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -61,6 +100,14 @@ def split_words(text: Column, separators: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """Tells rows apart that share an id but not their text; identical rows share it."""
     return F.xxhash64(*cols)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import spool
+from quillstrata.llm.common import discard, spool
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,18 +19,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint).  v, root for each vertex that has an edge; root is the least vertex of its component.
 
-    Each round is written to the shared folder.  A hub is never gathered: its edges meet one row that holds its minimum."""
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest path.  Each is written to the shared
+    folder, as is the result.  A hub is never gathered: its edges meet one row that holds its minimum."""
     edges = spool(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        edges = spool(_stars(_stars(edges, large=True), large=False), "stars")
-        now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not converge")
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    before, now = None, ()
+    while now != before:
+        before, last = now, edges
+        edges = spool(_stars(_stars(last, large=True), large=False), "stars")
+        discard(last)
+        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    members = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    found = spool(members.union(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()), "found")
+    discard(edges)
+    return found

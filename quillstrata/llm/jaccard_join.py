@@ -1,7 +1,7 @@
 """Self-join of texts by Jaccard similarity of their word n-grams, with adaptive prefixes of several matches.
 
-1. Shingles are 64-bit hashes of SIZE lower-cased words.  Their document frequencies are counted over the whole corpus (packed.py:
-   48 bits; texts with one set in one bundle count once).  A text that shares fewer shingles with any others than a link
+1. Shingles are 48-bit hashes of SIZE lower-cased words.  Their document frequencies are counted over the whole corpus (packed.py;
+   texts with one set in one bundle count once).  A text that shares fewer shingles with any others than a link
    takes is done.
 2. The shingles of each other text are ordered by frequency, rarest first.  If two sets share c shingles, the prefixes of
    |set| - c + l shingles share at least l.  Each text chooses its own l: a longer prefix means more postings to read and fewer
@@ -13,8 +13,9 @@
    isn't verified joins two vertices that are known to be in one component, and the components are exact.
 
 Defined results: a null text or one without words has an empty set and no link; one with fewer than SIZE words has its whole
-sequence as its only shingle; rows that repeat are copies of each other; component_id is the least doc_id of the component, null ids
-aside; an empty table gives an empty result; extra columns are ignored.
+sequence as its only shingle; a very long text is one set, whole in one task; rows that repeat are copies of each other; component_id is
+the least doc_id of the component, null ids aside, so ties don't arise; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.llm import packed
-from quillstrata.llm.common import row_key, spool
+from quillstrata.llm.common import discard, fresh, give_back, lean, row_key, small, spool
 from quillstrata.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -36,6 +37,8 @@ SIZE, PERCENT = 5, 80
 BLOCK = 256
 #: Shared prefix shingles that a text may ask for.
 MOST_MATCHES = 32
+#: Pairs that one copy of a vertex's set serves; vertices of more pairs are looked up by a broadcast of so many rows at most.
+SHARE, BROADCAST_ROWS = 2048, 200_000
 #: Cost of verifying a candidate for each of its shingles, in postings read.
 VERIFY = 0.1
 _BITS = 48
@@ -122,15 +125,24 @@ def sets_table(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
         )
 
     grouped = rows.groupBy("bundle")
-    back = packed.add_up(grouped.applyInArrow(count, packed.SENT))
-    return grouped.cogroup(back.groupBy("bundle")).applyInArrow(prefixes, f"doc_id {kind}, {KIND}")
+    back = packed.add_up(grouped.applyInArrow(lean(count), packed.SENT), n_b, _BITS)
+    return grouped.cogroup(back.groupBy("bundle")).applyInArrow(lean(prefixes), f"doc_id {kind}, {KIND}")
+
+
+def with_sets(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """pairs with n<side> and s<side>, size and shingles of one of their vertices.  A vertex of many pairs (one that leads a large group)
+    is copied, once for each SHARE of them, so that its pairs are dealt over many tasks."""
+    copies = F.ceil(F.col("count") / SHARE).cast("int").alias("copies")
+    many = small(pairs.groupBy(side).count().select(side, copies).filter("copies > 1"), BROADCAST_ROWS)
+    dealt = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    held = sets.select(F.col("v").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("shared").alias(f"s{side}"))
+    copied = held.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return dealt.join(copied, [side, "salt"]).drop("salt")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b of the pairs that link; sets: v, n_shingles, shared, one row for each v."""
-    one = sets.select(F.col("v").alias("a"), F.col("n_shingles").alias("na"), F.col("shared").alias("sa"))
-    two = sets.select(F.col("v").alias("b"), F.col("n_shingles").alias("nb"), F.col("shared").alias("sb"))
-    met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    """a, b of the pairs that link; sets: v, n_shingles, shared, one row for each v.  pairs are read several times: spool them."""
+    met = with_sets(with_sets(pairs.select("a", "b"), "a", sets), "b", sets).select("a", "b", "na", "nb", "sa", "sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -146,6 +158,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                     keep.append(i)
             if keep:
                 yield pa.record_batch([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
+        give_back()
 
     return met.mapInArrow(check, "a bigint, b bigint")
 
@@ -177,10 +190,11 @@ def across(vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
     able = lists.join(mixed, "tok").filter("most >= least").drop("least")
     again = able.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("tok", "size")
     chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / BLOCK))
-    blocks = able.join(again, "tok").groupBy("tok", chunk.alias("chunk")).agg(F.collect_list(F.struct("v", "root", "n", "l", "most")).alias("xs"))
+    blocks = able.join(again, "tok").groupBy("tok", chunk.alias("chunk")).agg(F.ceil(F.first("size") / BLOCK).alias("chunks"), F.collect_list(F.struct("v", "root", "n", "l", "most")).alias("xs"))
     blocks = spool(blocks, "blocks")
+    # a long list's pairs of blocks are dealt by its second block
     other = blocks.select("tok", F.col("chunk").alias("chunk2"), F.col("xs").alias("ys"))
-    met = blocks.join(other, "tok").filter("chunk <= chunk2").select((F.col("chunk") == F.col("chunk2")).alias("same"), "xs", "ys")
+    met = blocks.withColumn("chunk2", F.explode(F.expr("sequence(chunk, chunks - 1)"))).join(other, ["tok", "chunk2"]).select((F.col("chunk") == F.col("chunk2")).alias("same"), "xs", "ys")
 
     def fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         flat = column.flatten()
@@ -201,9 +215,12 @@ def across(vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
                     out.append((np.minimum(va, vb), np.maximum(va, vb), np.minimum(x["l"][i][a], y["l"][j][b])))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "need"])
+        give_back()
 
     found = met.mapInArrow(pairs, "a bigint, b bigint, need int")
-    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
+    out = spool(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b"), "candidates")
+    discard(blocks)
+    return out
 
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -214,18 +231,19 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     sets = spool(held.dropDuplicates(["v"]), "vertices")  # rows of one set are alike, whichever bundle they come from
     postings = sets.select("v", "alone", F.explode("prefix").alias("tok"))
     star = spool(leaders(postings), "star")
-    links = spool(verify(star, sets, percent), "links")
-    found = spool(components(links), "found")
+    found = components(verify(star, sets, percent))
     vertices = sets.select("v", "n_shingles", "alone", "l", "prefix").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    more = across(vertices, percent).join(star, ["a", "b"], "left_anti")
-    links2 = spool(verify(more, sets, percent), "links")
+    met = across(vertices, percent)
+    more = spool(met.join(star, ["a", "b"], "left_anti"), "more")
     # the components so far are stars around their roots
-    final = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links2))
+    final = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")).union(verify(more, sets, percent)))
     known = least.join(final, "v", "left").withColumn("root", F.coalesce("root", "v"))
     label = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_v = known.join(label, "root").select("v", "component_id")
     out = table.select("doc_id", "n_shingles", "v").join(by_v, "v")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    done = spool(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "classes")
+    discard(table, sets, star, found, met, more, final)
+    return done
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -234,16 +252,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with one (doc_id, text) of each component, that of least doc_id, null ids last; all columns kept.
+    """docs with one row of each component, of least doc_id, null ids last; all columns kept, whatever their names.
 
-    Rows that repeat an id and its text are one document and stay together; of rows that repeat a text and have no id one stays."""
-    keyed = docs.withColumn("__k", row_key("doc_id", "text"))
-    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = keyed.filter(~nameless).union(keyed.filter(nameless).dropDuplicates(["__k"]))
+    Rows are told apart by id and text, so a row falls only for its own text; of rows that repeat both, the one stays whose other columns
+    come first as JSON.  Rows without words have no component and all stay."""
+    key, gone = fresh(docs, "row_key"), fresh(docs, "gone_id")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
     kind = f"struct<nil:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},k:bigint>"  # fields that may be null, as Arrow gives them back
-    whole = keyed.select(F.struct(F.col("doc_id").isNull(), "doc_id", "__k").cast(kind).alias("doc_id"), "text")
-    drop = classes(whole, size, percent).filter("doc_id <> component_id").select(F.col("doc_id.id").alias("__d"), F.col("doc_id.k").alias("__h")).distinct()
-    return keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left_anti").drop("__k")
+    whole = keyed.select(F.struct(F.col("doc_id").isNull(), "doc_id", key).cast(kind).alias("doc_id"), "text")
+    found = classes(whole, size, percent).filter("n_shingles > 0")
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id.id").alias(gone), F.col("doc_id.k").alias(key)).distinct()
+    often = found.groupBy(F.col("doc_id.id").alias(gone), F.col("doc_id.k").alias(key)).count().filter("count > 1").drop("count")
+    same = lambda a, b: (a[key] == b[key]) & a["doc_id"].eqNullSafe(b[gone])
+    kept = keyed.join(drop, same(keyed, drop), "left_anti")
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    twice = kept.join(often, same(kept, often), "left_semi")
+    first = twice.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias(gone)) if rest else twice.select("doc_id", "text").distinct()
+    one = first.select("doc_id", "text", *(F.col(f"{gone}.`{c}`").alias(c) for c in rest)).select(*docs.columns)
+    return kept.join(often, same(kept, often), "left_anti").select(*docs.columns).union(one)
 
 
 SQL = r"""

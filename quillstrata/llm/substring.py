@@ -1,19 +1,25 @@
 """Removal of repeated passages by prefix-partitioned suffix trees over words.
 
-Each position of a text with DEPTH words left is a suffix.  The trees are built from the root down to depth DEPTH only, since a
-node at that depth with two leaves is just a window of DEPTH words that starts in two places:
-
-1. Prefixes of FIRST words are counted over the whole corpus.  A suffix whose prefix is unique is a leaf above DEPTH and drops out.
-2. The others are split into groups by prefix.  A prefix with more suffixes than GROUP is lengthened (to DEPTH words, so that
-   even the commonest passage's suffixes are spread), which bounds the groups by memory.  In a group's subtree, sorted by prefix and
-   then by what follows, nodes at DEPTH with two or more leaves are deep internal nodes.
-3. Overlapping windows that end at such nodes join to the maximal repeats of each text.
-
-Edges are labelled by 64-bit fingerprints of their words rather than by the words, and a bundle of texts sends each label once with
-its number of leaves (see packed.py).  Texts are shuffled once; both rounds and the last pass read that one exchange.
-
-Defined results: null or empty texts have no words and no repeats; texts of fewer than DEPTH words have none; rows that repeat
-one text are repeats of each other, of which all windows are removed; an empty table gives an empty result; extra columns are ignored.
+Each position of a text with DEPTH words left is a suffix.  The trees are built from the root down to depth DEPTH: a
+passage of DEPTH words occurs twice if an internal node lies as deep.
+
+1. Prefixes of FIRST words are counted over the whole corpus.  A suffix with a unique prefix, in itself or in one of the
+   suffixes that begin inside its window, is a leaf above DEPTH and drops out.
+2. The others are partitioned by prefix into groups.  A prefix with more suffixes than GROUP is lengthened, doubling its
+   words for each factor of GROWTH, so the suffixes of the commonest passage too are dealt over many groups.
+3. A task gets the suffixes of a range of prefixes: each one's path from its prefix down to DEPTH, once for each bundle of texts
+   that has it, with its number of leaves.  It sorts them by path; how far neighbours agree is the depth of the internal node that
+   joins them.  Each suffix learns the depth of the deepest internal node above its leaf.
+4. Windows below nodes of depth DEPTH are repeats; overlapping ones join to the repeated stretches of each text.
+
+Edges are labelled by fingerprints of their words, not by the words: 48 bits for the prefix, 16 at each third of the way down, 64 at
+DEPTH.  Two unequal windows count as one only if prefix and window collide, or, where they share the prefix, if the windows do: at 10^13
+suffixes some 0.02 such windows are expected.  Node depths above DEPTH are known to the third, and too deep once in 2^16.
+Texts are shuffled once; both rounds and the last pass read that one exchange (see packed.py for the exchange of suffixes).
+
+Defined results: null or empty texts have no words and no repeats; texts of fewer than DEPTH words have none; very long texts are
+whole in one task; rows that repeat one text are repeats of each other, of which all windows are removed; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +31,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillstrata.llm import packed
+from quillstrata.llm.common import lean
 
 DEPTH, FIRST = 35, 8
-#: Suffixes below one prefix; more lengthen it.
-GROUP = 1 << 15
-_PREFIX_BITS = 16  # of a node's label: its prefix; the other 48: the words down to DEPTH
+#: Suffixes below one prefix; more lengthen it, to twice the words, again for each GROWTH times as many.
+GROUP, GROWTH = 1 << 15, 32
+_STEPS, _PREFIX_BITS, _STEP_BITS = 3, 48, 16
+
+
+def step_depths(first: int, depth: int) -> list[int]:
+    """Depths between prefix and DEPTH at which a path has a label."""
+    return [first + (depth - first) * k // _STEPS for k in range(1, _STEPS)]
+
+
+def paths(windows: packed.Windows, starts: np.ndarray, first: int, depth: int) -> np.ndarray | None:
+    """The labels of each suffix's edges from its prefix to depth, in the leading 96 of 128 bits."""
+    if depth == first:
+        return None
+    one, two = (windows.at(starts, size) >> np.uint64(64 - _STEP_BITS) for size in step_depths(first, depth))
+    deep, half = windows.at(starts, depth), np.uint64(32)
+    return np.stack([one << np.uint64(48) | two << half | deep >> half, deep << half], axis=1)
+
+
+def subtree_depths(fps: np.ndarray, more: np.ndarray | None, leaves: np.ndarray, first: int, depth: int) -> np.ndarray:
+    """For each distinct path, sorted: the depth of the deepest internal node above its leaves (0: none below the prefix)."""
+    if not len(fps):
+        return leaves
+    joined = np.zeros(len(fps) + 1, np.int64)  # depth of the node that joins a path and the one before it
+    if more is not None:
+        one, two = step_depths(first, depth)
+        differ = more[1:, 0] ^ more[:-1, 0]
+        node = np.where(differ >> np.uint64(32) == 0, two, np.where(differ >> np.uint64(48) == 0, one, first))
+        joined[1:-1] = np.where(fps[1:] == fps[:-1], node, 0)
+    return np.where(leaves > 1, depth, np.maximum(joined[1:], joined[:-1]))
 
 
 class _Bundle:
@@ -39,21 +73,38 @@ class _Bundle:
         self.words = [(t or "").encode().split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        hashes = np.concatenate([packed.word_hashes(w) for w in self.words]) if self.words else np.zeros(0, np.uint64)
-        self.windows, self.depth = packed.Windows(hashes), depth
-        long = np.maximum(self.sizes - depth + 1, 0)
-        self.starts = np.repeat(self.begins[:-1] - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(long.sum())
-        self.prefixes = self.windows.at(self.starts, first)
-        self.labels, self.place, self.counts = np.unique(self.prefixes >> np.uint64(16), return_inverse=True, return_counts=True)
-
-    def nodes(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes below repeated prefixes, and the labels of their nodes at depth DEPTH."""
-        often = totals[self.place]
-        alive = np.flatnonzero(often > 1)
-        deep = self.windows.at(self.starts[alive], self.depth)
-        prefix = np.where(often[alive] > GROUP, deep << np.uint64(48), self.prefixes[alive])
-        top = np.uint64(64 - _PREFIX_BITS)
-        return alive, (prefix >> top << top) | (deep >> np.uint64(_PREFIX_BITS))
+        hashes = np.concatenate([np.zeros(0, np.uint64), *map(packed.word_hashes, self.words)])
+        self.windows, self.depth, self.first = packed.Windows(hashes), depth, first
+        self.prefix_starts = self._starts(first)
+        prefixes = self.windows.at(self.prefix_starts, first) >> np.uint64(64 - _PREFIX_BITS)
+        self.labels, self.place, self.counts = np.unique(prefixes, return_inverse=True, return_counts=True)
+
+    def _starts(self, size: int) -> np.ndarray:
+        """Where windows of so many words begin."""
+        fit = np.maximum(self.sizes - size + 1, 0)
+        return np.repeat(self.begins[:-1] - np.concatenate([[0], np.cumsum(fit)[:-1]]), fit) + np.arange(fit.sum())
+
+    def prefix_words(self, totals: np.ndarray) -> np.ndarray:
+        """For each label: 0 if its prefix is unique, else the words to which it is lengthened."""
+        size = np.full(len(totals), self.first, np.uint8)
+        size[totals <= 1] = 0
+        most, words = GROUP, self.first
+        while words < self.depth:
+            words = min(2 * words, self.depth)
+            size[totals > most] = words
+            most *= GROWTH
+        return size
+
+    def suffixes(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(starts, labels, paths) of the suffixes that may lie below a deep node, given prefix_words."""
+        at = np.zeros(self.begins[-1] + 1, np.uint8)
+        at[self.prefix_starts] = sizes[self.place]
+        run = np.concatenate([[0], np.cumsum(at > 0)])
+        inside = self.depth - self.first + 1
+        starts = self._starts(self.depth)
+        starts = starts[run[starts + inside] - run[starts] == inside]
+        labels = self.windows.at(starts, at[starts].astype(np.int64)) >> np.uint64(64 - _PREFIX_BITS)
+        return starts, labels, paths(self.windows, starts, self.first, self.depth)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """A flag for each word: whether a window from one of the starts covers it."""
@@ -63,9 +114,20 @@ class _Bundle:
         return np.cumsum(change[:-1]) > 0
 
 
+def _leaves(labels: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """(place of each suffix among the distinct ones; labels, paths and leaves of those)."""
+    order, begin = packed.distinct(labels, more)
+    counts = np.diff(np.append(begin, len(order)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.repeat(np.arange(len(begin)), counts)
+    at = order[begin]
+    return place, labels[at], None if more is None else more[at], counts
+
+
 def repeated(docs: DataFrame, finish, schema: str, depth: int = DEPTH) -> DataFrame:
     """finish(ids, words, flags) -> columns after doc_id, for the texts of a bundle: words by text and whether a repeat of `depth` words covers each."""
     n, first = packed.n_bundles(docs), min(FIRST, depth)
+    width = 2 if depth > first else 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(packed.bundle_of(n, "doc_id", "text").alias("bundle"), "doc_id", "text")
 
@@ -74,35 +136,35 @@ def repeated(docs: DataFrame, finish, schema: str, depth: int = DEPTH) -> DataFr
 
     def count_prefixes(table: pa.Table) -> pa.Table:
         b = load(table)
-        return packed.send(table.column("bundle")[0].as_py(), b.labels, b.counts, n, 48)
+        return packed.send(table.column("bundle")[0].as_py(), b.labels, b.counts, n, _PREFIX_BITS)
 
-    def build_subtrees(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return packed.send(0, np.zeros(0, np.uint64), np.zeros(0), n, 64)
-        totals, _ = packed.received(back)
+    def send_suffixes(table: pa.Table, back: pa.Table) -> pa.Table:
         b = load(table)
-        _, nodes = b.nodes(totals)
-        labels, counts = np.unique(nodes, return_counts=True)
-        return packed.send(table.column("bundle")[0].as_py(), labels, counts, n, 64, packed.squeeze(np.where(totals > GROUP, 2, np.where(totals > 1, 1, 0)).astype(np.uint8)) if len(totals) else None)
+        sizes = b.prefix_words(packed.received(back)[0])
+        _, labels, more, counts = _leaves(*b.suffixes(sizes)[1:])
+        return packed.send(table.column("bundle")[0].as_py(), labels, counts, n, _PREFIX_BITS, more, packed.squeeze(sizes) if len(sizes) else None)
+
+    def judge(fps: np.ndarray, more: np.ndarray | None, leaves: np.ndarray) -> np.ndarray:
+        return subtree_depths(fps, more, leaves, first, depth)
 
     def cover(table: pa.Table, back: pa.Table) -> pa.Table:
-        leaves, extra = packed.received(back)
+        depths, extra = packed.received(back)
         b = load(table)
-        classes = packed.expand(extra, np.uint8) if extra else np.zeros(0, np.uint8)
-        alive, nodes = b.nodes(np.array([0, 2, GROUP + 1], np.int64)[classes])
-        _, place = np.unique(nodes, return_inverse=True)
-        flags = b.covered(b.starts[alive[leaves[place] > 1]] if len(alive) else np.zeros(0, np.int64))
+        starts, labels, more = b.suffixes(packed.expand(extra, np.uint8) if extra else np.zeros(0, np.uint8))
+        place = _leaves(labels, more)[0]
+        flags = b.covered(starts[depths[place] >= depth])
         columns = finish(b.words, [flags[x:y] for x, y in zip(b.begins[:-1], b.begins[1:], strict=True)])
         return pa.table({"doc_id": table.column("doc_id"), **columns})
 
     grouped = rows.groupBy("bundle")
-    prefixes = packed.add_up(grouped.applyInArrow(count_prefixes, packed.SENT))
-    subtrees = packed.add_up(grouped.cogroup(prefixes.groupBy("bundle")).applyInArrow(build_subtrees, packed.SENT))
-    return grouped.cogroup(subtrees.groupBy("bundle")).applyInArrow(cover, f"doc_id {kind}, {schema}")
+    prefixes = packed.add_up(grouped.applyInArrow(lean(count_prefixes), packed.SENT), n, _PREFIX_BITS)
+    suffixes = grouped.cogroup(prefixes.groupBy("bundle")).applyInArrow(lean(send_suffixes), packed.SENT)
+    depths = packed.add_up(suffixes, n, _PREFIX_BITS, judge, width)
+    return grouped.cogroup(depths.groupBy("bundle")).applyInArrow(lean(cover), f"doc_id {kind}, {schema}")
 
 
 def spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, spans: the maximal repeats of each text as [start, stop) in words."""
+    """doc_id, spans: the stretches of each text that repeats cover, as [start, stop) in words; repeats that overlap or touch are one stretch."""
 
     def finish(words, flags):
         out = []

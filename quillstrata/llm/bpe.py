@@ -3,15 +3,16 @@
 For every prefix of a byte string there is one token with which its BPE encoding ends.  `PrefixState` keeps that token for each
 prefix: the encoding of prefix i ends with the one token t, ending at i, for which t may follow the last token of
 prefix i - len(t).  Two tokens may follow each other if no merge across their border comes before the merges
-that made them; that is decided once per pair and remembered.  Appending bytes only adds entries; an edit redoes the
-entries behind it.  Encodings are read backwards along the chain of last tokens, in time linear in the length, however long
-the piece.
+that made them; the border is followed down both tokens' merges, latest merge first.  Appending bytes only adds entries; an edit
+redoes the entries behind it.  Encodings are read backwards along the chain of last tokens, in time linear in the length, however
+long the piece.
 
 The text is first cut into pieces by the vocabulary's pattern, each encoded separately.  Pieces are remembered in a
 table of bounded size for each Python worker.
 
-Defined results: a null text is an empty text and has no tokens; lone rows are answered one by one, so repeated rows
-repeat; extra columns are ignored; special tokens are ordinary text.
+Defined results: a null text is an empty text and has no tokens; rows are answered one by one, so repeated rows repeat and ties
+don't arise; a very long text is encoded whole; an empty table gives an empty result; extra columns are ignored, whatever their names;
+special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces and token pairs that a worker remembers; some 200 MB.
-MOST_PIECES, MOST_PAIRS = 700_000, 1_500_000
+from quillstrata.llm.common import give_back
+
+#: Pieces that a worker remembers; some 20 MB.
+MOST_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,39 +47,43 @@ class Vocabulary:
         for token in ranks:
             for i in range(len(token)):
                 self.endings.setdefault(token[i:], ranks.get(token[i:], -1))
-        self._whole: dict[int, bool] = {}
-        self._follows: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by its definition: merge the leftmost pair of least rank until none is left.  For short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def may_follow(self, first: int, second: int) -> bool:
-        """Whether the encoding of both tokens' bytes is just these two."""
-        key = first << 32 | second
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) >= MOST_PAIRS:
-                self._follows.clear()
-            known = self._follows[key] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
-        return known
+        #: token -> the two tokens whose merge makes it; a token that its own bytes don't lead to has none
+        self.halves: dict[int, tuple[int, int]] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            for i in range(1, len(token)):
+                first, second = ranks.get(token[:i]), ranks.get(token[i:])
+                if first is not None and second is not None and first < rank and second < rank and self.whole(first) and self.whole(second) and self.may_follow(first, second, rank):
+                    self.halves[rank] = first, second
+                    break
 
     def whole(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as that token."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(self.tokens[token]) == [token]
-        return known
+        return token in self.halves or len(self.tokens[token]) == 1
+
+    def may_follow(self, first: int, second: int, before: int | None = None) -> bool:
+        """Whether the encoding of both tokens' bytes is just these two; of merges only those of ranks below `before` count, if given.
+
+        At the border the two tokens' last merges are undone, the later one first: were the pieces that then meet at the border
+        a token of lower rank than the merge that was undone, they'd have been merged instead."""
+        ranks, tokens, halves = self.ranks, self.tokens, self.halves
+        left, right = first, second
+        limit = (1 << 60) if before is None else before
+        while True:
+            made = ranks.get(tokens[left] + tokens[right])
+            if made is not None and made < limit:
+                return False
+            one, two = halves.get(left), halves.get(right)
+            if one is None and two is None:
+                return True
+            # of two merges of one rank the left one comes first, so it is undone last
+            if two is None or (one is not None and left > right):
+                limit, left = left, one[1]
+            else:
+                limit, right = right + 1, two[0]
 
     def last_tokens(self, data: bytes, last: list[int], begin: int = 0) -> list[int]:
         """Extends last, which holds the last token of the prefixes of 1..begin bytes, to all of data."""
-        endings, follows = self.endings, self._follows
+        endings, follows = self.endings, self.may_follow
         for end in range(begin + 1, len(data) + 1):
             found, start = [], end - 1
             while start >= 0:
@@ -91,8 +98,7 @@ class Vocabulary:
                     if self.whole(token):
                         break
                     continue
-                ok = follows.get(last[start - 1] << 32 | token)
-                if ok if ok is not None else self.may_follow(last[start - 1], token):
+                if follows(last[start - 1], token):
                     break
             else:
                 raise ValueError("a byte has no token")
@@ -171,7 +177,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker and vocabulary, kept as long as the worker lives."""
+    """One for each worker and vocabulary, kept as long as the worker lives: some 50 MB, whatever it encodes."""
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
     return _ENCODERS[path, pattern]
@@ -188,6 +194,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 packed = [enc.packed(t or "") for t in part.column("text").to_pylist()]
                 ids = [list(enc._unpack(p)) for p in packed]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(p) for p in packed], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded binary")
@@ -198,12 +205,15 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, digest = encoder(path, pattern), lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
-            packed = [enc.packed(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([digest(p) for p in packed], pa.string()), pa.array([digest(enc.decode(p)) for p in packed], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                packed = [enc.packed(t or "") for t in batch.column("text").to_pylist()]
+                yield pa.record_batch(
+                    [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([digest(p) for p in packed], pa.string()), pa.array([digest(enc.decode(p)) for p in packed], pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

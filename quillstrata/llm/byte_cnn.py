@@ -8,9 +8,13 @@ weighted by their bytes.
 For scoring, the byte vectors are multiplied into the filters beforehand: a filter's response is then a sum of table rows, one for
 each pair of neighbouring bytes, so no matrix product is left but the last one.
 
-Training uses a bounded sample: TRAIN_ROWS texts of lowest hash for each language.  Defined results: null texts and texts
-without a letter are `und` with score 0; rows are answered one by one, so repeated rows repeat; without any training
-row every text is `und`; an empty table gives an empty result; extra columns are ignored.
+Training uses a bounded sample: of each language that the table has, however many, the TRAIN_ROWS texts of lowest hash (fewer, if
+all languages together would take more than TRAIN_TOTAL; one at least), and of each text TRAIN_PIECES pieces of WINDOW characters spread
+evenly over it.  Scoring reads whole texts.
+
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0; of languages with equal scores the
+first by name is told; rows are answered one by one, so repeated rows repeat; very long texts are scored in parts; without any
+training row every text is `und`; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.llm.common import give_back
+
 WINDOW, WIDTHS, WIDEST = 256, (2, 3, 4), 4
 DIM, FILTERS = 8, 8
-#: Texts for each language, at most LANGUAGES of them; windows for each text; passes.
-TRAIN_ROWS, LANGUAGES, TRAIN_CHARS, PASSES, RATE = 400, 100, 4 * WINDOW, 6, 0.01
+#: Texts for each language and for all of them; pieces of each text; passes.
+TRAIN_ROWS, TRAIN_TOTAL, TRAIN_PIECES, PASSES, RATE = 400, 100_000, 4, 6, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_BATCH = 4096  # windows scored at once: 1 MB of bytes
+_LIKE_LETTER = re.compile(r"[^\W\d_]")  # also finds numbers such as ½ and Ⅷ
+_BATCH, _ROWS = 4096, 256  # windows scored at once (1 MB of bytes); texts taken from Arrow at once
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LIKE_LETTER.finditer(text))
 
 
 def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +68,7 @@ class Network:
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], seed: int = 0) -> Network:
         rng, names = np.random.default_rng(seed), sorted(set(langs))
-        cut = [windows(t.encode()[:TRAIN_CHARS])[0] for t in texts]
+        cut = [windows(t.encode())[0] for t in texts]
         x = np.concatenate(cut)
         y = np.repeat([names.index(v) for v in langs], [len(c) for c in cut])
         f = FILTERS * len(WIDTHS)
@@ -159,7 +169,7 @@ def _decider(net: Network | None):
 
         held = 0
         for i, text in enumerate(texts if net else ()):
-            if text and _LETTER.search(text):
+            if text and has_letter(text):
                 waiting.append((i, *windows(text.encode())))
                 held += len(waiting[-1][1])
                 if held >= _BATCH:
@@ -171,12 +181,19 @@ def _decider(net: Network | None):
     return decide
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+    give_back()
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = _decider(net)
-        for batch in batches:
+        for batch in _parts(batches):
             preds, scores = decide(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -188,26 +205,34 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def pieces(text: F.Column) -> F.Column:
+    """TRAIN_PIECES pieces of WINDOW characters, spread evenly from the text's begin to its end."""
+    room = F.greatest(F.length(text) - WINDOW, F.lit(0))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda k: F.floor(room * k / (TRAIN_PIECES - 1)).cast("int") + 1)
+    return F.transform(F.array_distinct(starts), lambda at: F.substring(text, at, F.lit(WINDOW)))
+
+
 def train(docs: DataFrame) -> Network | None:
-    """Fits on rows that aren't held out: of each language TRAIN_ROWS texts, those of lowest hash (their first TRAIN_CHARS characters; scoring reads whole texts)."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    """Fits on rows that aren't held out (see above for the sample)."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    # a threshold on the hash leaves some 2 TRAIN_ROWS of each language in one scan for all of them
-    space, begins = 1 << 40, F.substring("text", 1, TRAIN_CHARS)
-    h, bound = F.pmod(F.xxhash64("doc_id", begins), F.lit(space)), F.lit(0)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, space if n <= 4 * TRAIN_ROWS else space * 2 * TRAIN_ROWS // n).otherwise(bound)
-    drawn: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.filter(h < bound).select("lang", h.alias("h"), begins.alias("text")).collect():
-        drawn.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    each = max(1, min(TRAIN_ROWS, TRAIN_TOTAL // len(counts)))
+    # a threshold on the hash leaves some 2 `each` of each language in one scan for all of them
+    space = 1 << 40
+    bounds = [(lang, space if n <= 4 * each else space * 2 * each // n) for lang, n in counts.items()]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+    drawn: dict[str, list[tuple[int, list[str]]]] = {}
+    for r in rows.withColumn("h", h).join(bound, "lang").filter("h < bound").select("lang", "h", pieces(F.col("text")).alias("cut")).collect():
+        drawn.setdefault(r["lang"], []).append((r["h"], r["cut"]))
     texts, names = [], []
     for lang, found in sorted(drawn.items()):
-        texts += [t for _, t in sorted(found)[:TRAIN_ROWS]]
-        names += [lang] * min(len(found), TRAIN_ROWS)
-    keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
-    return Network.fit([texts[i] for i in keep], [names[i] for i in keep]) if keep else None
+        cut = [t for _, c in sorted(found)[:each] for t in c if has_letter(t)]
+        texts += cut
+        names += [lang] * len(cut)
+    return Network.fit(texts, names) if texts else None
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -222,7 +247,7 @@ def keep_known(docs: DataFrame, net: Network | None, least_score: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = _decider(net)
-        for batch in batches:
+        for batch in _parts(batches):
             preds, scores = decide(batch.column("text").to_pylist())
             keep = [i for i, (p, s) in enumerate(zip(preds, scores, strict=True)) if p != UNKNOWN and s >= least_score]
             part = batch.take(pa.array(keep, pa.int64()))

@@ -1,15 +1,18 @@
 """Benchmark decontamination over a stored positional inverted index, in DataFrame operations only.
 
 The index is a table of postings (row, term, position) in the shared folder, written from one pass over the
-training texts without a shuffle.  `terms` may restrict it to a test vocabulary: postings of other terms can't take part in
+training texts without a shuffle; behind each text's last word stands the empty word, whose position is the text's length.
+`terms` may restrict it to a test vocabulary: postings of other terms can't take part in
 a match.  A phrase search starts at the rarest terms of each window: their postings, less the offset of the term, name the
-diagonal (row, item, first position) on which the item would lie.  Only diagonals on which the two rarest lists of a
-window agree are intersected with the lists of all other terms.  Common terms are so never expanded by themselves, and
-every join key holds a row's position, so a frequent passage is spread over as many keys as rows hold it.
-
-Defined results: null or empty texts have no words and no hits; repeated rows are answered one by one, rows that
-share a doc_id but not the text likewise; an item without words is never found; items with one id count once; an empty
-benchmark leaves all clean; extra columns are ignored.
+diagonal (row, item, first position) on which the item would lie.  Only stretches of a diagonal, two windows long, in which the
+two rarest lists of a window agree are intersected with the lists of the item's other terms there, however long the item.  Common
+terms are so never expanded by themselves, and every join key holds a row's position, so a frequent passage is spread over as many
+keys as rows hold it.
+
+Defined results: null or empty texts have no words and no hits; very long texts are indexed whole; repeated rows are answered one by
+one, rows that share a doc_id but not the text likewise; of equally rare terms those that come first in the item are taken; an item without
+words is never found; items with one id count once; an empty table gives an empty result, an empty benchmark leaves all clean; extra
+columns are ignored, and kept by `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import NOT_WORD, ascii_lower, row_key, small, split_words, spool
+from quillstrata.llm.common import NOT_WORD, ascii_lower, fresh, row_key, small, split_words, spool
 
 WINDOW = 13
 #: A test vocabulary of up to so many terms (some 100 MB) is broadcast; beyond it the joins shuffle.
@@ -39,11 +42,17 @@ class PositionalIndex:
     @classmethod
     def build(cls, docs: DataFrame, terms: DataFrame | None = None) -> PositionalIndex:
         """terms: one column, term, without repeats; None indexes every term."""
-        words = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.posexplode(term_list(F.col("text"))).alias("pos", "word"))
+        listed = F.concat(term_list(F.col("text")), F.array(F.lit("")))
+        words = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.posexplode(listed).alias("pos", "word"))
         if terms is not None:
-            words = words.join(small(terms.select(F.col("term").alias("word")), BROADCAST_TERMS), "word")
+            wanted = terms.select(F.col("term").alias("word")).union(docs.sparkSession.createDataFrame([("",)], "word string"))
+            words = words.join(small(wanted, BROADCAST_TERMS), "word")
         return cls(spool(words.select("doc_id", "k", "pos", F.xxhash64("word").alias("term")), "postings"))
 
+    def lengths(self) -> DataFrame:
+        """doc_id, k, n_words of each row."""
+        return self.postings.filter(F.col("term") == F.xxhash64(F.lit(""))).select("doc_id", "k", F.col("pos").cast("long").alias("n_words"))
+
     def frequencies(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("tf"))
 
@@ -60,9 +69,11 @@ class PositionalIndex:
         anchors = rarest.select("entry", "size", F.explode(F.slice("by", 1, 2)).alias("a")).select("entry", "size", F.col("a.off").alias("off"), F.col("a.term").alias("term")).distinct()
         anchors, item_terms = small(anchors, BROADCAST_TERMS), small(item_terms, BROADCAST_TERMS)
         near = self.postings.join(anchors, "term").withColumn("diag", F.col("pos") - F.col("off"))
-        near = near.groupBy("doc_id", "k", "entry", "diag").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.first("size").alias("size"))
-        diagonals = near.filter((F.col("lo") != F.col("hi")) | (F.col("size") == 1)).select("doc_id", "k", "entry", "diag", "size")
-        asked = diagonals.join(item_terms, "entry").select("doc_id", "k", "entry", "diag", "size", "off", "term", (F.col("diag") + F.col("off")).alias("pos")).filter("pos >= 0")
+        # a window lies in one of the stretches (cell - 1) * size .. (cell + 1) * size of its item
+        near = near.withColumn("cell", F.explode(F.array((F.col("off") / F.col("size")).cast("int"), (F.col("off") / F.col("size")).cast("int") + 1)))
+        near = near.groupBy("doc_id", "k", "entry", "diag", "cell").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.first("size").alias("size"))
+        stretches = near.filter((F.col("lo") != F.col("hi")) | (F.col("size") == 1)).select("doc_id", "k", "entry", "diag", "size", F.explode(F.expr("sequence(greatest((cell - 1) * size, 0), (cell + 1) * size - 1)")).alias("off"))
+        asked = stretches.join(item_terms.select("entry", "off", "term"), ["entry", "off"]).select("doc_id", "k", "entry", "diag", "size", "off", "term", (F.col("diag") + F.col("off")).alias("pos")).filter("pos >= 0").distinct()
         have = self.postings.select(F.col("doc_id").alias("d"), F.col("k").alias("h"), F.col("pos").alias("p"), F.col("term").alias("t"))
         met = asked.join(have, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("term") == F.col("t")))
         met = met.groupBy("doc_id", "k", "entry", "diag").agg(F.sort_array(F.collect_set("off")).alias("offs"), F.first("size").alias("size"))
@@ -88,11 +99,9 @@ def item_entries(benchmark: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("item_id", F.to_json(F.struct("words"))).alias("entry"), "item_id", "words")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, k, n_hit, item_ids (sorted strings) of the rows that hold a window of an item."""
-    items = item_entries(benchmark)
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    found = PositionalIndex.build(docs, terms).phrases(items, window).join(small(items.select("entry", "item_id"), BROADCAST_TERMS), "entry")
+def hits(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, k, n_hit, item_ids (sorted strings) of the rows that hold a window of an item (entry, item_id, words)."""
+    found = index.phrases(items, window).join(small(items.select("entry", "item_id"), BROADCAST_TERMS), "entry")
     words = found.select("doc_id", "k", "item_id", F.explode(F.expr("sequence(start, start + size - 1)")).alias("pos"))
     one = words.groupBy("doc_id", "k", "pos").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     return one.groupBy("doc_id", "k").agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
@@ -100,9 +109,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, k, n_words, n_hit, item_ids, contaminated, for each row of docs."""
-    found = hits(docs, benchmark, window).select(F.col("doc_id").alias("d"), F.col("k").alias("h"), "n_hit", "item_ids")
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    base = docs.select("doc_id", row_key("doc_id", "text").alias("k"), n_words.alias("n_words"))
+    items = item_entries(benchmark)
+    index = PositionalIndex.build(docs, items.select(F.explode("words").alias("term")).distinct())
+    found = hits(index, items, window).select(F.col("doc_id").alias("d"), F.col("k").alias("h"), "n_hit", "item_ids")
+    base = index.lengths()
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "k", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
@@ -110,9 +120,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, all columns kept."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("k").alias("__h"))
-    keyed = docs.withColumn("__k", row_key("doc_id", "text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left_anti").drop("__k")
+    key, bad_id, bad_key = fresh(docs, "row_key"), fresh(docs, "bad_id"), fresh(docs, "bad_key")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("k").alias(bad_key)).distinct()
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ most 3^8 rows, whatever the corpus) estimates how often each rule is right when
 posterior log-odds are a sum over the votes, which is a column expression.  Two hard bounds
 (`base_failed`) stand before it.
 
-Defined results: null or empty texts have no words, fail the base and are not kept; rows are answered one by one, so
-repeated rows repeat; an empty table gives an empty result; extra columns are ignored.
+Defined results: null or empty texts have no words, fail the base and are not kept; very long texts are one row, whole in one task; a
+posterior of just 0.5 is kept; rows are answered one by one, so repeated rows repeat; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from quillstrata.llm.common import let, split_words, spool
 
 RULES = ("symbols", "symbol_runs", "plain_words", "capitals", "shouting", "repeats", "lines", "length")
-#: EM starts from these accuracies of a vote, and keeps them with HOLD times the weight of what it sees; a rule is never taken for worse than chance.
+#: EM starts from these accuracies of a vote, and counts them as HOLD votes that were seen before, which fade as the corpus grows; a rule
+#: is never taken for worse than chance.
 START = {"symbols": 0.9, "symbol_runs": 0.9, "plain_words": 0.8, "capitals": 0.9, "shouting": 0.9, "repeats": 0.9, "lines": 0.8, "length": 0.6}
-GOOD_PRIOR, HOLD, LEAST, MOST, ROUNDS = 0.8, 1.0, 0.5, 0.99, 60
+GOOD_PRIOR, HOLD, LEAST, MOST, ROUNDS = 0.8, 200, 0.5, 0.99, 60
 
 
 def repeat_words(words: Column) -> Column:
@@ -90,8 +92,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]
                 if v:
                     right[j] += n * (post if v > 0 else 1 - post)
                     voted[j] += n
-        prior = min(MOST, max(1 - MOST, (good + HOLD * total * GOOD_PRIOR) / (total * (1 + HOLD)))) if total else prior
-        accuracy = [min(MOST, max(LEAST, (x + HOLD * n * START[r]) / (n * (1 + HOLD)))) if n else a for r, a, x, n in zip(RULES, accuracy, right, voted, strict=True)]
+        prior = min(MOST, max(1 - MOST, (good + HOLD * GOOD_PRIOR) / (total + HOLD))) if total else prior
+        accuracy = [min(MOST, max(LEAST, (x + HOLD * START[r]) / (n + HOLD))) if n else a for r, a, x, n in zip(RULES, accuracy, right, voted, strict=True)]
     return prior, accuracy
 
 

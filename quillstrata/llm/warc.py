@@ -26,11 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.common import sample, spool
+from quillstrata.llm.common import give_back, sample, spool
 
 #: Magic number of the skippable frame that holds a dictionary, and of any frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES, LEVEL, SAMPLE, DICTIONARY_BYTES = 4 << 20, 3, 300, 32 << 10
+#: Payloads that a reader holds before it hands records on.
+PART_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 #: Upper halves of record ids: the lower half is the page's id.
@@ -213,10 +215,17 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
     """A row for each record of archives (column content, as from write_archives or binaryFile): RECORDS, and payload (binary) if asked for."""
 
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names, n = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"), 7 if payload else 6
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns[:n], kinds[:n], strict=True)], names[:n])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
+                rows, held = [], 0
                 for headers, block in read_archive(content.as_py()):
                     http, _, body = block.partition(b"\r\n\r\n")
                     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
@@ -224,12 +233,13 @@ def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
                     if kind == "response" and size != len(body):
                         raise WarcError(f"{headers['warc-record-id']}: payload of {len(body)} bytes, not {size}")
                     refers = headers.get("warc-refers-to")
-                    rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), size, headers.get("warc-payload-digest", "").removeprefix("sha1:"), kind, page_of(refers) if refers else None, body))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-                n = 7 if payload else 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns[:n], kinds[:n], strict=True)], names[:n])
+                    rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), size, headers.get("warc-payload-digest", "").removeprefix("sha1:"), kind, page_of(refers) if refers else None, body if payload else None))
+                    held += len(body) if payload else 256
+                    if held >= PART_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+                yield table(rows)
+        give_back()
 
     return archives.select("content").mapInArrow(read, RECORDS + (", payload binary" if payload else ""))
 

@@ -12,6 +12,17 @@ from quillstrata.llm import bpe as B
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 
+def merged(ranks, data):
+    """BPE by its definition: merge the leftmost pair of least rank until none is left."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
 @pytest.fixture(scope="module")
 def both():
     enc = B.encoder(PATH, P.PATTERN)
@@ -31,6 +42,18 @@ def test_likely_text(both, text):
     assert both[0].encode(text) == both[1].encode_ordinary(text)
 
 
+def test_pairs_and_whole_tokens_by_definition(both):
+    import random
+
+    v, rng = both[0].vocabulary, random.Random(5)
+    for _ in range(20_000):
+        a, b = rng.randrange(len(v.ranks)) if rng.random() < 0.5 else rng.randrange(2000), rng.randrange(2000)
+        if v.whole(a) and v.whole(b):
+            assert v.may_follow(a, b) == (merged(v.ranks, v.tokens[a] + v.tokens[b]) == [a, b])
+    for t in rng.sample(range(len(v.ranks)), 3000):
+        assert v.whole(t) == (merged(v.ranks, v.tokens[t]) == [t])
+
+
 def test_long_pieces_take_linear_time(both):
     text = "x" * 30_000 + "aéb" * 5_000 + " " * 20_000
     assert both[0].encode(text) == both[1].encode_ordinary(text)
@@ -41,8 +64,8 @@ def test_appends_and_edits(both):
     fresh = lambda data: v.backwards(v.last_tokens(data, []))
     s = B.PrefixState(v, b"interna")
     s.append(b"tionalisation")
-    assert s.ids() == fresh(b"internationalisation") == v.merged(b"internationalisation")
-    assert all(s.ids(n) == v.merged(s.data[:n]) for n in range(len(s.data) + 1))
+    assert s.ids() == fresh(b"internationalisation") == merged(v.ranks, b"internationalisation")
+    assert all(s.ids(n) == merged(v.ranks, s.data[:n]) for n in range(len(s.data) + 1))
     s.edit(5, 9, b"XY")
     assert s.data == b"interXYonalisation" and s.ids() == fresh(s.data)
     assert len(s.last) == len(s.data)

@@ -3,7 +3,8 @@
 For every prefix of a byte string there is one token with which its BPE encoding ends.  `PrefixState` keeps that token for each
 prefix: the encoding of prefix i ends with the one token t, ending at i, for which t may follow the last token of
 prefix i - len(t).  Two tokens may follow each other if no merge across their border comes before the merges
-that made them; the border is followed down both tokens' merges, latest merge first.  Appending bytes only adds entries; an edit
+that made them; the border is followed down both tokens' merges, latest merge first, and what is found is remembered in a table of
+fixed size.  Appending bytes only adds entries; an edit
 redoes the entries behind it.  Encodings are read backwards along the chain of last tokens, in time linear in the length, however
 long the piece.
 
@@ -20,16 +21,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from quillstrata.llm.common import give_back
 
-#: Pieces that a worker remembers; some 20 MB.
-MOST_PIECES = 150_000
+#: Pieces that a worker remembers (some 60 MB), and places for token pairs (a power of two; 8 bytes each).
+MOST_PIECES, PAIRS = 400_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,11 +45,13 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.tokens, self.longest = ranks, {rank: token for token, rank in ranks.items()}, max(map(len, ranks))
-        #: every ending of a token -> its rank, or -1 if it is no token itself: a trie walked backwards
-        self.endings: dict[bytes, int] = {}
-        for token in ranks:
-            for i in range(len(token)):
-                self.endings.setdefault(token[i:], ranks.get(token[i:], -1))
+        #: finds the tokens that end at each byte, longest first
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.automaton.make_automaton()
+        #: at a pair's place: its number, and whether its second token may follow its first
+        self.pairs = array("Q", bytes(8 * PAIRS))
         #: token -> the two tokens whose merge makes it; a token that its own bytes don't lead to has none
         self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -83,26 +88,26 @@ class Vocabulary:
 
     def last_tokens(self, data: bytes, last: list[int], begin: int = 0) -> list[int]:
         """Extends last, which holds the last token of the prefixes of 1..begin bytes, to all of data."""
-        endings, follows = self.endings, self.may_follow
-        for end in range(begin + 1, len(data) + 1):
-            found, start = [], end - 1
-            while start >= 0:
-                token = endings.get(data[start:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((start, token))
-                start -= 1
-            for start, token in reversed(found):
-                if not start:
-                    if self.whole(token):
-                        break
+        pairs, mask = self.pairs, PAIRS - 1
+        for at, (token, size) in self.automaton.iter(data.decode("latin-1"), max(0, begin - self.longest)):
+            if at != begin:
+                continue  # this prefix has its token
+            start = at + 1 - size
+            if start:
+                before = last[start - 1]
+                key = (before << 32 | token) << 2
+                place = (before * 40503 + token * 69069) & mask
+                known = pairs[place]
+                if known | 1 != key | 3:
+                    known = pairs[place] = key | 2 | self.may_follow(before, token)
+                if not known & 1:
                     continue
-                if follows(last[start - 1], token):
-                    break
-            else:
-                raise ValueError("a byte has no token")
+            elif not self.whole(token):
+                continue
             last.append(token)
+            begin += 1
+        if begin != len(data):
+            raise ValueError("a byte has no token")
         return last
 
     def backwards(self, last: list[int]) -> list[int]:

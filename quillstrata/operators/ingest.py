@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from quillstrata.functions import ids
 from quillstrata.operators import graph, knowledge
 from quillstrata.operators.structure import chunks, text_content
+from quillstrata.scratch import spool
 from quillstrata.sources import files
 
 
 def upsert(decoded: DataFrame, extractor: knowledge.Extractor, known: DataFrame | None = None, judge: knowledge.Judge | None = None) -> dict[str, DataFrame]:
-    """The logs' rows for a batch: documents, entities, facts, elements; and chunks and warnings."""
+    """The logs' rows for a batch: documents, entities, facts, elements; and chunks and warnings.
+
+    What the models say is written in the shared folder before anything is made of it, so a chunk is asked for once and all logs, and the
+    outcomes, tell of that one answer."""
     docs, elements = files.documents(decoded), files.elements(decoded)
-    chunked = knowledge.extract(chunks(elements), extractor)
+    chunked = spool(knowledge.extract(chunks(elements), extractor), "extracted")
     found = knowledge.candidates(chunked)
-    resolved = knowledge.resolve(found, known, judge)
-    facts, warned = knowledge.bind(chunked, resolved, elements)
+    resolved = spool(knowledge.resolve(found, known, judge), "resolved")
+    facts, warned = (spool(part, "bound") for part in knowledge.bind(chunked, resolved, elements))
     seq = F.struct("doc_id", "chunk_seq", "pos")
     entities = resolved.filter(F.col("resolved_key").isNotNull()).select(seq.alias("seq"), "doc_id", F.col("resolved_key").alias("key"), "name", "type", "aliases")
     fact_rows = facts.select(seq.alias("seq"), "source_key", "relation", "target_key", "doc_id", "element_ids", "evidence", "confidence")
@@ -47,7 +51,7 @@ def totals(done: DataFrame) -> DataFrame:
 
 def ingest_batch(rows: DataFrame, store: files.DocumentStore, store_graph: graph.GraphStore, extractor: knowledge.Extractor, batch_seq: int, judge: knowledge.Judge | None = None, commit: bool = True) -> DataFrame:
     """Decodes files (path, name, content), extracts and resolves in document order, writes documents before graph; returns outcomes.  commit=False only reviews."""
-    decoded = files.decode_all(rows).persist()
+    decoded = spool(files.decode_all(rows), "decoded")
     parts = upsert(decoded, extractor, store_graph.entities() if commit else None, judge)
     done = outcomes(decoded, parts)
     if commit:

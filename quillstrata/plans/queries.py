@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from quillstrata.functions import ids
 from quillstrata.functions import text as T
 from quillstrata.operators import answering, graph, knowledge, layout, search, structure
 from quillstrata.plans import adapters as A
-from quillstrata.sources import detect
+from quillstrata.scratch import shared_dir, spool
+from quillstrata.sources import detect, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +49,7 @@ corpus AS (SELECT count(*) AS n_passages, avg(len(ts)) AS avg_n FROM pt),
 postings AS (SELECT gid, term, count(*) AS tf FROM (SELECT gid, unnest(ts) AS term FROM pt) GROUP BY ALL),
 terms AS (SELECT term, count(*) AS df, ln(1 + (any_value(n_passages) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, corpus GROUP BY term)"""
 SCORES = f"""{INDEX},
-q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 8), ' ') AS text FROM benchmark),
+q AS (SELECT item_id AS query_id, text FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({TOKENS('text')}) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, p.gid, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avg_n))), 9) AS score FROM qt JOIN terms USING (term) JOIN postings p USING (term) JOIN pt ON pt.gid = p.gid, corpus GROUP BY 1, 2),
 r AS (SELECT query_id, gid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) AS rank FROM s)"""
@@ -55,7 +57,7 @@ ENTITIES = """
 el AS (SELECT 0 AS t, CAST(r_regionkey AS BIGINT) AS k, r_name AS name, 'Location' AS type FROM region UNION ALL SELECT 1, n_nationkey, n_name, 'Location' FROM nation UNION ALL SELECT 2, c_custkey, c_name, 'Organization' FROM customer
   UNION ALL SELECT 3, s_suppkey, s_name, 'Team' FROM supplier UNION ALL SELECT 4, p_partkey, 'part ' || p_partkey, 'Product' FROM part UNION ALL SELECT 5, o_orderkey, 'order ' || o_orderkey, 'Document' FROM orders),
 ek AS (SELECT *, lower(type) || '|' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM el),
-entities AS (SELECT key, arg_min(name, (t, k)) AS name, arg_min(type, (t, k)) AS type, min((t, k)) AS seq FROM ek GROUP BY key)"""
+entities AS MATERIALIZED (SELECT key, arg_min(name, (t, k)) AS name, arg_min(type, (t, k)) AS type, min((t, k)) AS seq FROM ek GROUP BY key)"""
 _LOC, _ORD, _PART = "'location|' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))", "'document|order ' || {}", "'product|part ' || {}"
 _ORG, _TEAM = "'organization|' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))", "'team|' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 FACTS = f"""{ENTITIES},
@@ -66,7 +68,7 @@ facts AS (
   UNION ALL SELECT 3, o_orderkey, 0, {_ORD.format('o_orderkey')}, 'CREATED_BY', {_ORG.format('c_name')}, 'orders' FROM orders JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT 4, l_suppkey, l_partkey, {_TEAM.format('s_name')}, 'OWNS', {_PART.format('l_partkey')}, 'partsupp' FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey
   UNION ALL SELECT 5, l_orderkey, l_partkey, {_ORD.format('l_orderkey')}, 'USES', {_PART.format('l_partkey')}, 'lineitem' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
-f AS (SELECT *, row_number() OVER (ORDER BY t, k1, k2) AS pos FROM facts)"""
+f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, k1, k2) AS pos FROM facts)"""
 SEEDS = "seeds AS (SELECT query_id, key FROM (VALUES (1, 'location|france'), (1, 'team|supplier 000000001'), (2, 'product|part 7'), (3, 'organization|customer 000000005'), (3, 'nowhere|x')) v(query_id, key) WHERE key IN (SELECT key FROM entities))"
 
 
@@ -108,11 +110,7 @@ def text_preview(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query(
-    r"""SELECT item_id, list_concat(i, list_filter(list_distinct_ordered, lambda x: NOT list_contains(i, x))) AS names FROM (
-  SELECT item_id, regexp_extract_all(text, '\b[A-Z][A-Z0-9]*[-_][A-Z0-9]+\b') AS i, list_filter(list_transform(list_sort(list_transform(list_distinct(c), lambda x: (list_position(c, x), x))), lambda p: p[2]), lambda x: x NOT IN ('What','Which','Who','Where','When','Why','How','The','A','An')) AS list_distinct_ordered
-  FROM (SELECT item_id, text, regexp_extract_all(text, '\b[A-Z][A-Za-z0-9]*(?:[ -][A-Z][A-Za-z0-9]*)*\b') AS c FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7f]*')))"""
-)
+@query()
 def question_entities(spark, d):
     """Names that a question shows; a null text shows none."""
     return A.table(spark, d, "benchmark").select("item_id", T.question_names(F.coalesce("text", F.lit(""))).alias("names"))
@@ -211,11 +209,15 @@ def font_median(spark, d):
     return layout.weighted_median(rows, "doc_id", "size", F.col("l_linenumber"), "body_size")
 
 
-@query("SELECT p_partkey, CAST(least(dense_rank() OVER (PARTITION BY p_brand ORDER BY round_even(p_retailprice * 2, 0) / 2 DESC), 6) AS INT) AS level FROM part")
+@query(
+    """WITH c AS (SELECT p_partkey, p_brand, p_retailprice AS s, count(*) OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS cum, count(*) OVER (PARTITION BY p_brand) AS total FROM part),
+m AS (SELECT p_brand, min(s) AS body FROM c WHERE 2 * cum >= total GROUP BY p_brand)
+SELECT p_partkey, CASE WHEN s >= body * 1.15 THEN CAST(least(dense_rank() OVER (PARTITION BY p_brand, s >= body * 1.15 ORDER BY round_even(s * 2, 0) / 2 DESC), 6) AS INT) END AS level FROM c JOIN m USING (p_brand)"""
+)
 def heading_ranks(spark, d):
-    """Levels by half-point size buckets: retail prices within a brand."""
-    bucket = F.bround(F.col("p_retailprice") * 2) / 2
-    return A.table(spark, d, "part").select("p_partkey", F.least(F.dense_rank().over(W.partitionBy("p_brand").orderBy(F.desc(bucket))), F.lit(layout.MAX_LEVEL)).alias("level"))
+    """Body size, candidates and levels by half-point size: parts as lines of their brand, prices as sizes."""
+    blocks = A.table(spark, d, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", F.lit("text").alias("kind"), F.lit("x").alias("text"), F.col("p_retailprice").alias("max_size"), F.lit(False).alias("is_bold"), F.lit(1).alias("line_count"), F.lit(0.0).alias("gap_below"))
+    return layout.heading_levels(blocks).select("p_partkey", "level")
 
 
 _KEY = lambda x: rf"regexp_replace(lower({SQUASH(x)}), '\p{{Nd}}+', '#', 'g')"
@@ -235,7 +237,7 @@ def table_mask_antijoin(spark, d):
     return layout.mask_tables(e, r).select("event_id")
 
 
-_BLOCKS = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS i, l_quantity * 8 AS x0, l_quantity * 8 + 100 AS x1, l_tax * 1000 AS y0, l_tax * 1000 + 10 AS y1, l_returnflag = 'R' AS figure FROM lineitem WHERE l_orderkey % 2 = 0)"""
+_BLOCKS = """b AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS i, l_quantity * 8 AS x0, l_quantity * 8 + 100 AS x1, l_tax * 1000 AS y0, l_tax * 1000 + 10 AS y1, l_returnflag = 'R' AS figure FROM lineitem)"""
 
 
 @query(
@@ -280,30 +282,36 @@ _FLAT = lambda x: f"lower({SQUASH(x)})"
 
 
 @query(
-    f"""WITH {ELEMENTS}, f AS (SELECT doc_id, {_FLAT("substr(arg_max(text, \"order\"), 1, 40)")} AS quote FROM elements GROUP BY doc_id)
+    f"""WITH {ELEMENTS}, f AS (SELECT doc_id, {_FLAT("arg_max(text, \"order\")")} AS quote FROM elements GROUP BY doc_id)
 SELECT f.doc_id, coalesce(arg_min(element_id, "order") FILTER (quote <> '' AND contains({_FLAT('text')}, quote)), '*') AS element_id FROM f JOIN elements e USING (doc_id) GROUP BY f.doc_id"""
 )
 def bind_evidence(spark, d):
-    """The first 40 characters of each document's last element as a quote: the first element that holds it."""
+    """Each document's last element as a quote: the first element that holds it."""
     e = A.elements(A.table(spark, d, "documents"))
     f = e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("order", "element_id"))).alias("o"), F.max_by("text", "order").alias("t"))
-    f = f.select("doc_id", F.lit("c").alias("chunk_id"), F.lit(0).alias("pos"), F.col("o.element_id").alias("element_ids"), F.substring("t", 1, 40).alias("evidence"))
+    f = f.select("doc_id", F.lit("c").alias("chunk_id"), F.lit(0).alias("pos"), F.col("o.element_id").alias("element_ids"), F.col("t").alias("evidence"))
     return knowledge.bind_evidence(f, e).select("doc_id", F.when(F.col("confidence") == "high", F.col("element_ids")[0]).otherwise("*").alias("element_id"))
 
 
-@query(f"WITH {ENTITIES} SELECT o_orderkey, 'organization|customer ' || lpad(CAST(o_custkey + 1400 AS VARCHAR), 9, '0') AS missing FROM orders WHERE 'organization|customer ' || lpad(CAST(o_custkey + 1400 AS VARCHAR), 9, '0') NOT IN (SELECT key FROM entities)")
+@query("SELECT o_orderkey, 'Customer#' || lpad(CAST(o_custkey + 1400 AS VARCHAR), 9, '0') AS missing FROM orders WHERE o_custkey + 1400 NOT IN (SELECT c_custkey FROM customer)")
 def unknown_entity_warnings(spark, d):
-    """Facts that name an entity which nobody declared: orders of customers moved beyond the last."""
-    facts = A.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("organization|customer "), F.lpad((F.col("o_custkey") + 1400).cast("string"), 9, "0")).alias("missing"))
-    return facts.join(A.entities(spark, d).select(F.col("key").alias("missing")), "missing", "left_anti").select("o_orderkey", "missing")
+    """Facts that name an entity which their chunk didn't declare: an order a chunk, by a customer moved beyond the last."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("order "), "o_orderkey").alias("order"), (F.col("o_custkey") + 1400).alias("c_custkey"))
+    fact = F.struct(F.col("order").alias("source"), F.lit("CREATED_BY").alias("relation"), F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("target"), F.lit("").alias("evidence"))
+    said = o.select(F.lit("orders").alias("doc_id"), "chunk_id", F.lit(0).alias("chunk_seq"), F.array(F.lit("p1e000")).alias("element_ids"), F.struct(F.array(fact).alias("facts")).alias("extraction"), F.lit(None).cast("string").alias("error"))
+    one = lambda name, kind, pos: (F.lit("orders").alias("doc_id"), "chunk_id", F.lit(pos).alias("pos"), F.array().cast("array<string>").alias("aliases"), name.alias("name"), T.entity_key(name, F.lit(kind)).alias("key"), T.entity_key(name, F.lit(kind)).alias("resolved_key"))
+    named = o.select(*one(F.col("order"), "Document", 0)).union(o.join(A.table(spark, d, "customer"), "c_custkey").select(*one(F.col("c_name"), "Organization", 1)))
+    warned = knowledge.bind(said, named, A.elements(A.table(spark, d, "documents")).withColumn("doc_id", F.col("doc_id").cast("string")))[1]
+    return warned.filter("code = 'unknown_entity'").select(F.col("chunk_id").cast("bigint").alias("o_orderkey"), F.col("detail").alias("missing"))
 
 
 @query("SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON lower(replace(s.s_name, '#', ' ')) = 'supplier ' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0')")
 def alias_match(spark, d):
-    """Entities by alias: each supplier bears the customer's number as alias."""
-    s = A.table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(T.normal_name(F.col("s_name")))).alias("alias"))
-    c = A.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("supplier "), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("alias"))
-    return c.join(s, "alias").select("c_custkey", "s_suppkey")
+    """Entities found by alias: customers that bear a supplier's name as alias, asked for by the suppliers' names."""
+    c = A.table(spark, d, "customer")
+    known = c.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.lit("Team").alias("type"), F.col("c_custkey").alias("seq"), F.array(F.concat(F.lit("supplier "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("aliases"))
+    asked = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.lit(0).alias("pos"), F.col("s_name").alias("name"))
+    return graph.find_entities(known, asked).select(F.col("key").cast("bigint").alias("c_custkey"), F.col("query_id").alias("s_suppkey"))
 
 
 @query("SELECT DISTINCT 'x' AS kind, least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b FROM (SELECT DISTINCT lower(p_name) AS p_name FROM part) a JOIN (SELECT DISTINCT lower(p_name) AS p_name FROM part) b ON a.p_name <> b.p_name AND contains(b.p_name, a.p_name)")
@@ -328,14 +336,14 @@ def find_entities(spark, d):
 
 def _traverse(spark, d, hops):
     seeds = spark.sql("SELECT * FROM VALUES (1, 'location|france'), (1, 'team|supplier 000000001'), (2, 'product|part 7'), (3, 'organization|customer 000000005'), (3, 'nowhere|x') AS v(query_id, key)")
-    rows = graph.traverse(A.fact_log(spark, d), A.entities(spark, d), seeds, hops)
+    rows = graph.traverse(spool(A.fact_log(spark, d), "facts"), A.entities(spark, d), seeds, hops)
     return rows.select("query_id", "hop", "source_key", "relation", "target_key")
 
 
 def _traverse_sql(hops: int) -> str:
     steps, last = [f"{SEEDS}, n0 AS (SELECT query_id, key, 0 AS dist FROM seeds)"], "n0"
     for h in range(1, hops):
-        steps.append(f"n{h} AS (SELECT query_id, key, min(dist) AS dist FROM (SELECT * FROM {last} UNION ALL SELECT query_id, o, {h} FROM {last} JOIN f ON s = key UNION ALL SELECT query_id, s, {h} FROM {last} JOIN f ON o = key) GROUP BY ALL)")
+        steps.append(f"n{h} AS MATERIALIZED (SELECT query_id, key, min(dist) AS dist FROM (SELECT * FROM {last} UNION ALL SELECT query_id, o, {h} FROM {last} JOIN f ON s = key UNION ALL SELECT query_id, s, {h} FROM {last} JOIN f ON o = key) GROUP BY ALL)")
         last = f"n{h}"
     return f"""WITH {FACTS}, {', '.join(steps)}, e AS (SELECT query_id, pos, 1 + min(dist) AS hop FROM (SELECT query_id, pos, dist FROM {last} JOIN f ON s = key UNION ALL SELECT query_id, pos, dist FROM {last} JOIN f ON o = key) GROUP BY ALL)
 SELECT query_id, CAST(hop AS INT) AS hop, s AS source_key, relation, o AS target_key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, pos) AS place FROM e) JOIN f USING (pos) WHERE place <= 200"""
@@ -464,10 +472,23 @@ def carried_seeds(spark, d):
 
 
 # --- batches ------------------------------------------------------------------------------------------------------
-@query("SELECT event_type AS stage, count(*) AS n_files, CAST(coalesce(sum(user_id), 0) AS BIGINT) AS n_facts FROM events GROUP BY 1")
+@query(
+    """SELECT CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'done' END AS stage, count(*) AS n_files, CAST(sum(user_id % 4) AS BIGINT) AS chunks_total, CAST(sum(CASE WHEN user_id % 4 > 1 THEN user_id % 4 - 1 ELSE user_id % 4 END) AS BIGINT) AS chunks_done,
+  CAST(sum(CASE WHEN user_id % 4 > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_entities, CAST(sum(user_id % 3) AS BIGINT) AS n_facts, CAST(sum(user_id % 2) AS BIGINT) AS n_warnings FROM events GROUP BY 1"""
+)
 def outcome_table(spark, d):
-    """Outcomes by stage: events as files, their type as stage."""
-    return A.table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("user_id"), F.lit(0)).alias("n_facts"))
+    """Outcomes of files by stage: events as files, numbers from their user as what was made of each."""
+    from quillstrata.operators.ingest import outcomes
+
+    e = A.table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("doc_id"), "user_id")
+    many = lambda n, *cols: e.select("doc_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))).alias("i")).select("doc_id", *cols)
+    decoded = e.select(F.col("doc_id").alias("path"), "doc_id", F.col("doc_id").alias("source_name"), F.when(F.col("event_id") % 3 == 0, "broken").alias("error"))
+    parts = {
+        "chunks": many(F.col("user_id") % 4, F.when(F.col("i") == 2, "lost").alias("error")), "entities": many(F.col("user_id") % 4, F.lit("one").alias("key")),
+        "facts": many(F.col("user_id") % 3), "warnings": many(F.col("user_id") % 2),
+    }
+    numbers = ("chunks_total", "chunks_done", "n_entities", "n_facts", "n_warnings")
+    return outcomes(decoded, parts).groupBy("stage").agg(F.count("*").alias("n_files"), *(F.sum(c).alias(c) for c in numbers))
 
 
 @query("SELECT CAST(sum(user_id) AS BIGINT) AS chunks_total, CAST(sum(user_id % 7) AS BIGINT) AS n_entities, CAST(sum(user_id % 5) AS BIGINT) AS n_facts, CAST(sum(user_id % 3) AS BIGINT) AS n_warnings FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
@@ -503,3 +524,70 @@ def laid_out_pages(spark, d):
     heads = e.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page")).select("doc_id", (100_000 + F.col("page")).alias("index"), "page", G.box(F.lit(72), F.lit(20), F.lit(300), F.lit(30)).alias("bbox"), F.concat(F.lit("Report part "), F.col("page").cast("string")).alias("text"), F.lit(9.0).alias("max_size"), F.lit(False).alias("is_bold"), F.lit(1).alias("line_count"), F.lit("text").alias("kind"), F.lit(None).cast(e.schema["table"].dataType).alias("table"), F.lit(None).cast(e.schema["image"].dataType).alias("image"))
     pages = e.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return layout.elements(lines.unionByName(heads), pages).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
+# --- sources ------------------------------------------------------------------------------------------------------
+def _markdown(spark, d):
+    """Documents as Markdown files: a title, and each line that isn't blank a paragraph of plain words."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9\n]+", " ")
+    body = F.concat(F.lit("# Title "), F.col("doc_id"), F.lit("\n\n"), F.replace(words, F.lit("\n"), F.lit("\n\n")))
+    return A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat("doc_id", F.lit(".md")).alias("name"), body.cast("binary").alias("content"))
+
+
+_MARKDOWN = """w AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\\n]+', ' ', 'g') AS t FROM documents),
+f AS (SELECT doc_id, sha256('# Title ' || doc_id || chr(10) || chr(10) || replace(t, chr(10), chr(10) || chr(10)))[1:16] AS document, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS ls FROM w)"""
+
+
+@query(
+    f"""WITH {_MARKDOWN} SELECT document, 'heading' AS type, CAST(1 AS BIGINT) AS n, CAST(length('Title ' || doc_id) AS BIGINT) AS chars FROM f
+UNION ALL SELECT document, 'paragraph', CAST(len(ls) AS BIGINT), CAST(list_sum(list_transform(ls, lambda x: length(trim(x)))) AS BIGINT) FROM f WHERE len(ls) > 0"""
+)
+def decoded_markdown(spark, d):
+    """Files through format detection, the decoder registry and the Markdown decoder to the element table."""
+    found = files.elements(files.decode_all(_markdown(spark, d)))
+    return found.groupBy(F.col("doc_id").alias("document"), "type").agg(F.count("*").alias("n"), F.sum(F.length(T.strip(F.col("text")))).alias("chars"))
+
+
+@query(f"WITH {_MARKDOWN} SELECT document, CAST(doc_id AS VARCHAR) || '.md' AS source_name, 1 + len(ls) AS n_elements FROM f")
+def stored_documents(spark, d):
+    """The document store: everything written, half of it twice, and read back by the report."""
+    store = files.DocumentStore(spark, f"{shared_dir(spark)}/quillstrata/{uuid.uuid4().hex}/store")
+    decoded = spool(files.decode_all(_markdown(spark, d)), "decoded")
+    store.put(decoded.filter(F.col("path").cast("bigint") % 2 == 0))
+    store.put(decoded)
+    return store.report().select(F.col("doc_id").alias("document"), "source_name", "n_elements")
+
+
+@query(f"WITH {FACTS} SELECT s AS source_key, relation, o AS target_key, doc_id, array_to_string(list(DISTINCT printf('p1e%03d', k1) ORDER BY printf('p1e%03d', k1)), ',') AS element_ids FROM f GROUP BY ALL")
+def stored_graph(spark, d):
+    """The graph store: a batch applied twice changes nothing; facts as the logs fold."""
+    store = graph.GraphStore(spark, f"{shared_dir(spark)}/quillstrata/{uuid.uuid4().hex}/graph")
+    facts = spool(A.fact_log(spark, d), "facts")
+    docs = facts.groupBy("doc_id").agg(F.min("seq").alias("seq"))
+    elements = facts.select("seq", F.concat_ws(":", "doc_id", F.col("element_ids")[0]).alias("gid"))
+    for batch in (1, 2):
+        store.apply(batch, docs, A.entity_log(spark, d), facts, elements)
+    return store.facts().select("source_key", "relation", "target_key", "doc_id", F.array_join(F.array_sort("element_ids"), ",").alias("element_ids"))
+
+
+@query(f"WITH {_MARKDOWN} SELECT document, CAST(doc_id AS VARCHAR) || '.md' AS name FROM f")
+def streamed_contents(spark, d):
+    """Files that arrive in a folder as a stream, each content once: the files are written twice under different names."""
+    from quillstrata.streaming import ingest as streaming
+
+    root = f"{shared_dir(spark)}/quillstrata/{uuid.uuid4().hex}"
+    spool_files = _markdown(spark, d).select("name", F.col("content").cast("string").alias("value"))
+    found: list[DataFrame] = []
+    source = spool_files.unionByName(spool_files)
+    source.write.parquet(f"{root}/arrived")
+    rows = spark.readStream.schema("name string, value string").parquet(f"{root}/arrived")
+    once = streaming.each_content_once(rows.select(F.col("name").alias("path"), "name", F.col("value").cast("binary").alias("content")))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        found.append(spool(batch.select(ids.document_id(F.col("content")).alias("document"), "name"), "arrived"))
+
+    streaming.ingest_stream(once, keep, f"{root}/checkpoint").awaitTermination()
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

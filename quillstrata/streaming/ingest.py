@@ -13,10 +13,18 @@ from quillstrata.operators.answering import CARRIED, HISTORY
 
 
 def new_contents(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, content, checksum of files as they arrive, each content once: the state holds checksums, not files."""
+    """path, name, content, checksum of files as they arrive, each content once."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(path)
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.sha2("content", 256).alias("checksum")).dropDuplicates(["checksum"])
+    return each_content_once(rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+
+
+def each_content_once(rows: DataFrame) -> DataFrame:
+    """path, name, content of a stream, with checksum, each content once.
+
+    The state holds checksums, not files, of all that ever came: it has no bound but what arrives (about 100 bytes a file, on disk with
+    the RocksDB store), as a copy may come at any time."""
+    return rows.select("path", "name", "content", F.sha2("content", 256).alias("checksum")).dropDuplicates(["checksum"])
 
 
 def ingest_stream(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -1,13 +1,14 @@
 """A query's rows against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v is None or v != v else v
+    plain = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if pd.isna(v) else v
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None)), key=repr)
 
 

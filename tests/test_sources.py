@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 import zlib
 
@@ -111,6 +112,21 @@ def test_batches_isolate_failures_and_repeat_nothing(spark, tmp_path):
     assert text.startswith('{\n  "level"') and text.endswith("}\n")
 
 
+def test_the_model_is_asked_once_for_each_chunk(spark, tmp_path):
+    told = tmp_path / "calls"
+
+    def extractor(text, heading):
+        with open(told, "a") as f:
+            f.write("call\n")
+        return {"entities": [{"name": f"Service {time.time_ns()}", "type": "Service", "aliases": []}], "facts": []}  # never the same answer twice
+
+    rows = files.uploaded(spark, [("a.md", b"# One\n\ntext\n"), ("b.md", b"# Two\n\nother text\n")])
+    store, store_graph = files.DocumentStore(spark, str(tmp_path / "store")), G.GraphStore(spark, str(tmp_path / "graph"))
+    done = ingest.ingest_batch(rows, store, store_graph, extractor, 0)
+    assert sorted((r.name, r.stage, r.chunks_done, r.n_entities) for r in done.collect()) == [("a.md", "done", 1, 1), ("b.md", "done", 1, 1)]
+    assert store_graph.entities().count() == 2 and len(told.read_text().splitlines()) == 2
+
+
 def test_file_stream_takes_each_content_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("a.md", "b.md", "c.md"):

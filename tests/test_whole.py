@@ -1,4 +1,4 @@
-"""Queries over all of their rows, against brute force: their SQL leaves some out."""
+"""Queries over all of their rows, against brute force."""
 
 import math
 import re
@@ -6,8 +6,7 @@ from itertools import product
 
 import pytest
 
-from oracle import same
-from quillstrata.plans.catalogue import ORACLE_SQL, QUERIES
+from quillstrata.plans.catalogue import QUERIES
 
 
 def test_caption_candidates_of_odd_and_even_orders(spark, tmp_path):
@@ -23,10 +22,6 @@ def test_caption_candidates_of_odd_and_even_orders(spark, tmp_path):
     assert {k % 2 for k, *_ in wanted} == {0, 1} and len(found) == len(wanted) and set(found) == wanted
 
 
-def test_caption_candidates_equal_their_sql_over_all_orders(spark, tables):
-    same(QUERIES["caption_candidates"](spark, tables), ORACLE_SQL["caption_candidates"].replace(" WHERE l_orderkey % 2 = 0", ""), tables)
-
-
 def named(text):
     found = re.findall(r"\b[A-Z][A-Z0-9]*[-_][A-Z0-9]+\b", text or "")
     for run in re.findall(r"\b[A-Z][A-Za-z0-9]*(?:[ -][A-Z][A-Za-z0-9]*)*\b", text or ""):
@@ -49,10 +44,6 @@ def test_question_entities_of_all_items(spark, size):
     assert found == {i: named(x) for i, x in items.items()}
 
 
-#: The cut of the SQL: the first eight words of each question.
-EIGHT = r"array_to_string(list_slice(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 8), ' ')"
-
-
 def test_questions_score_by_words_after_the_eighth(spark, tmp_path):
     spark.createDataFrame([(1, "a short\nlate term"), (2, "b other\nnothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "q q q q q q q q late, nothing"), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -61,8 +52,3 @@ def test_questions_score_by_words_after_the_eighth(spark, tmp_path):
     idf, average = math.log(1 + 3.5 / 1.5), 7 / 4
     wanted = {(7, g): idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(x.split()) / average)) for g, x in texts.items() if "late" in x or "nothing" in x}
     assert found == pytest.approx(wanted, abs=1e-8)
-
-
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_batch_topk", "rrf_fusion", "hybrid_topk"])
-def test_questions_equal_their_sql_over_whole_texts(spark, tables, name):
-    same(QUERIES[name](spark, tables), ORACLE_SQL[name].replace(EIGHT, "text"), tables)

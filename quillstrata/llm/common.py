@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrata.scratch import discard, shared_dir, small, spool
+
+__all__ = ["ascii_lower", "discard", "fresh", "give_back", "lean", "let", "row_key", "sample", "shared_dir", "small", "split_words", "spool", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of the two word definitions, for Java's regex.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,39 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); in local mode only, one of our own where it is unset."""
-    sc = spark.sparkContext
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='quillstrata-')}"
-    sc.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def spool(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstrata/{uuid.uuid4().hex}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._spooled = path
-    return back
-
-
-def discard(*spooled: DataFrame) -> None:
-    """Remove tables of spool that nothing reads any more: call it once all that was made of them is itself spooled."""
-    for df in spooled:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._spooled.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def give_back() -> None:
     """Return the memory that a Python worker has freed to the system: workers are used again by other stages, beside which they'd keep it."""
     pa.default_memory_pool().release_unused()
@@ -81,11 +50,6 @@ def lean(f: Callable) -> Callable:
     return one if len(inspect.signature(f).parameters) == 1 else two
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint, if a count proves that df has no more than max_rows rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once per row and use it in body: a lambda over a captured expression would redo it for each element."""
     return F.transform(F.array(value), body)[0]

@@ -45,7 +45,7 @@ class PositionalIndex:
         listed = F.concat(term_list(F.col("text")), F.array(F.lit("")))
         words = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.posexplode(listed).alias("pos", "word"))
         if terms is not None:
-            wanted = terms.select(F.col("term").alias("word")).union(docs.sparkSession.createDataFrame([("",)], "word string"))
+            wanted = terms.select(F.col("term").alias("word")).union(docs.sparkSession.range(1).select(F.lit("").alias("word")))
             words = words.join(small(wanted, BROADCAST_TERMS), "word")
         return cls(spool(words.select("doc_id", "k", "pos", F.xxhash64("word").alias("term")), "postings"))
 

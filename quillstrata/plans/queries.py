@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstrata.functions import geometry as G
 from quillstrata.functions import ids
 from quillstrata.functions import text as T
-from quillstrata.operators import answering, graph, knowledge, layout, search, structure
+from quillstrata.operators import answering, graph, knowledge, layout, search, structure, views
 from quillstrata.plans import adapters as A
 from quillstrata.scratch import shared_dir, spool
 from quillstrata.sources import detect, files
@@ -160,6 +160,38 @@ def section_outline(spark, d):
     return structure.section_outline(A.elements(A.table(spark, d, "documents"))).select("doc_id", "section_seq", "heading", "n_elements")
 
 
+@query(
+    f"""WITH {ELEMENTS}, e AS ({_LEVELS}), s AS (SELECT *, CAST(sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "order") AS INT) AS section_seq FROM e),
+o AS (SELECT b.doc_id, b."order", b.level, min(c."order") AS closed FROM e b LEFT JOIN e c ON c.doc_id = b.doc_id AND c."order" > b."order" AND c.level <= b.level WHERE b.level IS NOT NULL GROUP BY ALL),
+p AS (SELECT a.doc_id, a."order", count(*) AS depth FROM e a JOIN o ON o.doc_id = a.doc_id AND o."order" < a."order" AND o.level < a.level AND (o.closed IS NULL OR o.closed >= a."order") GROUP BY ALL)
+SELECT s.doc_id, section_seq, CAST(coalesce(max(level), 0) AS INT) AS level, CAST(coalesce(max(CASE WHEN level IS NOT NULL THEN depth END), 0) AS INT) AS depth, count(*) FILTER (level IS NULL) AS n_elements FROM s LEFT JOIN p USING (doc_id, "order") GROUP BY ALL"""
+)
+def nested_outline(spark, d):
+    """Sections under headings of up to four levels: a heading lies in each heading before it that none of its rank or higher has closed; level 0 is before any."""
+    e = A.elements(A.table(spark, d, "documents"))
+    n = F.length("text")
+    e = e.withColumn("level", F.when(n % 3 == 0, 1 + n % 4)).withColumn("type", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph"))
+    return structure.section_outline(e).na.fill(0, ["level"]).select("doc_id", "section_seq", "level", "depth", "n_elements")
+
+
+@query(rf"""WITH {ELEMENTS}, p AS (SELECT doc_id, "order", element_id, type, {SQUASH('text')} AS s FROM elements WHERE type IN ('heading', 'list_item'))
+SELECT doc_id, "order", element_id, type, CASE WHEN length(s) > 90 THEN substr(s, 1, 90) || '…' ELSE s END AS text, 72 + 14.0 * "order" AS y0 FROM p""")
+def element_table(spark, d):
+    """The element table with two types shown."""
+    return views.element_table(A.elements(A.table(spark, d, "documents")), ("heading", "list_item")).select("doc_id", "order", "element_id", "type", "text", "y0")
+
+
+@query(f"""WITH {ELEMENTS} SELECT doc_id, element_id, 1 AS n_rows, CAST(len(string_split(text, ' | ')) AS INT) AS n_cols, md5(text) AS text_md5 FROM elements WHERE type = 'table'""")
+def table_listing(spark, d):
+    """Tables of the documents, and their flattened text: lines with bars as tables of one row."""
+    e = A.elements(A.table(spark, d, "documents"))
+    cells = F.split("text", r" \| ")
+    made = F.struct(F.array().cast("array<string>").alias("headers"), F.array(cells).alias("rows"), F.lit(1).alias("n_rows"), F.size(cells).alias("n_cols"))
+    e = e.withColumn("table", F.when(F.col("type") == "table", made))
+    flat = views.inspected(e).select("doc_id", "element_id", F.md5("text").alias("text_md5"))
+    return views.table_listing(e).join(flat, ["doc_id", "element_id"]).select("doc_id", "element_id", "n_rows", "n_cols", "text_md5")
+
+
 @query(f"WITH {ELEMENTS} SELECT doc_id, min(text) FILTER (type = 'heading' AND text <> '') AS title FROM elements GROUP BY doc_id")
 def title_projection(spark, d):
     return structure.titles(A.elements(A.table(spark, d, "documents")))
@@ -364,6 +396,18 @@ def traverse_3hop(spark, d):
     return _traverse(spark, d, 3)
 
 
+@query(
+    f"""WITH t AS ({_traverse_sql(1).replace('SELECT query_id, CAST(hop AS INT) AS hop,', 'SELECT query_id, CAST(place AS INT) AS place, CAST(hop AS INT) AS hop,')}), {ENTITIES}
+SELECT query_id, place, hop, a.name AS source, relation, b.name AS target FROM t JOIN entities a ON a.key = source_key JOIN entities b ON b.key = target_key"""
+)
+def path_table(spark, d):
+    """What an answer walked, by names."""
+    seeds = spark.sql("SELECT * FROM VALUES (1, 'location|france'), (1, 'team|supplier 000000001'), (2, 'product|part 7'), (3, 'organization|customer 000000005'), (3, 'nowhere|x') AS v(query_id, key)")
+    entities = A.entities(spark, d)
+    walked = graph.traverse(spool(A.fact_log(spark, d), "facts"), entities, seeds, 1)
+    return views.path_table(walked, entities).select("query_id", "place", "hop", "source", "relation", "target")
+
+
 @query(f"WITH {FACTS} SELECT CAST(6 AS BIGINT) AS documents, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM f) AS facts, (SELECT count(DISTINCT doc_id || k1) FROM f) AS elements")
 def graph_stats(spark, d):
     facts = A.fact_log(spark, d)

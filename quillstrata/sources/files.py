@@ -27,6 +27,12 @@ def files(spark: SparkSession, path: str, known_only: bool = True) -> DataFrame:
     return rows.filter(suffix(F.col("name")).isin(*SUFFIXES)) if known_only else rows
 
 
+def samples(spark: SparkSession, *folders: str) -> DataFrame:
+    """path, name, length of the files in the given folders that a decoder takes; their contents aren't read."""
+    rows = spark.read.format("binaryFile").load(list(folders)).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return rows.filter(suffix(F.col("name")).isin(*SUFFIXES))
+
+
 def uploaded(spark: SparkSession, given: list[tuple[str, bytes]]) -> DataFrame:
     """path, name, content of bytes at hand."""
     return spark.createDataFrame([(n, n, bytearray(d)) for n, d in given], "path string, name string, content binary")

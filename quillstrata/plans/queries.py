@@ -343,7 +343,7 @@ def alias_match(spark, d):
     c = A.table(spark, d, "customer")
     known = c.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.lit("Team").alias("type"), F.col("c_custkey").alias("seq"), F.array(F.concat(F.lit("supplier "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("aliases"))
     asked = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.lit(0).alias("pos"), F.col("s_name").alias("name"))
-    return graph.find_entities(known, asked).select(F.col("key").cast("bigint").alias("c_custkey"), F.col("query_id").alias("s_suppkey"))
+    return graph.find_entities(known, asked, limit=None).select(F.col("key").cast("bigint").alias("c_custkey"), F.col("query_id").alias("s_suppkey"))
 
 
 @query("SELECT DISTINCT 'x' AS kind, least(a.p_name, b.p_name) AS a, greatest(a.p_name, b.p_name) AS b FROM (SELECT DISTINCT lower(p_name) AS p_name FROM part) a JOIN (SELECT DISTINCT lower(p_name) AS p_name FROM part) b ON a.p_name <> b.p_name AND contains(b.p_name, a.p_name)")

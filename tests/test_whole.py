@@ -52,3 +52,31 @@ def test_questions_score_by_words_after_the_eighth(spark, tmp_path):
     idf, average = math.log(1 + 3.5 / 1.5), 7 / 4
     wanted = {(7, g): idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(x.split()) / average)) for g, x in texts.items() if "late" in x or "nothing" in x}
     assert found == pytest.approx(wanted, abs=1e-8)
+
+
+def customers_and_suppliers(spark, folder, customers, suppliers):
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in customers], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(f"{folder}/supplier.parquet")
+    return sorted((r.c_custkey, r.s_suppkey) for r in QUERIES["alias_match"](spark, str(folder)).collect())
+
+
+def broadcast_rows(spark):
+    """The largest number of rows that the last query broadcast."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    said = store.executionMetrics(last)
+    counts = [m.accumulatorId() for n in each(store.planGraph(last).allNodes()) if n.name() == "BroadcastExchange" for m in each(n.metrics()) if m.name() == "number of output rows"]
+    return max(int(said.apply(k).replace(",", "")) for k in counts if said.contains(k))
+
+
+def test_alias_match_broadcasts_no_exploded_names(spark, tmp_path):
+    found = customers_and_suppliers(spark, tmp_path, range(20_000), [(k, f"Supplier#{k % 1000:09d}") for k in range(3000)])
+    assert found == sorted((k % 1000, k) for k in range(3000))
+    assert broadcast_rows(spark) <= 2000  # 1000 names, some 1000 pieces of them
+
+
+def test_alias_match_lists_every_customer_of_an_alias(spark, tmp_path):
+    keys = [7, *range(10_000_000_000, 10_000_000_012)]  # beyond nine digits lpad cuts, in SQL as well
+    assert customers_and_suppliers(spark, tmp_path, keys, [(1, "Supplier#100000000"), (2, "Supplier#000000008"), (3, None)]) == [(k, 1) for k in keys[1:]]
